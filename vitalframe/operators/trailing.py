@@ -49,8 +49,8 @@ def trailing_totals(daily: DataFrame, asked: DataFrame, widest: int, tile_days:
     facts = facts.select(bucket, "device_key", "metric", day.alias("day"), "value")
     # a day serves its own tile and, within `widest` days of the end, the next one
     facts = facts.withColumn("tile", F.explode(F.array_distinct(F.array(own, F.floor((F.col("day") + widest) / tile_days)))))
-    asked = asked.select(bucket, day.alias("day"), "*").withColumn("tile", own)
-    schema = asked.schema.simpleString()[7:-1].replace("bucket:", "bucket ", 1)
+    # aliases: `asked` may descend from `daily`, whose columns cogroup would mix up with these
+    asked = asked.select(bucket, day.alias("day"), *[F.col(f"`{c}`").alias(c) for c in asked.columns]).withColumn("tile", own)
     kept = [f for f in asked.schema.fields if f.name not in ("bucket", "tile", "day")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", r_total double, r_mean double, r_days int"
 

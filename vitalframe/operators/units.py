@@ -52,6 +52,8 @@ SPELLINGS = {
     "count": ["count", "steps"],
     "count/min": ["count/min", "bpm", "beats/min", "breaths/min", "rpm"],
 }
+#: White space with the non-breaking, thin and narrow spaces.
+SPACES = r"[\s\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
 #: Percentages up to this are fractions.
 FRACTION_UP_TO = 1.5
 
@@ -93,7 +95,7 @@ class UnitGraph:
 
 def spelling(text):
     """The key under which a unit is looked up: no white space, lower case; Cal and CAL stay apart from cal."""
-    plain = F.regexp_replace(text, r"[\s ]+", "")
+    plain = F.regexp_replace(text, SPACES, "")
     return F.when(plain.isin("Cal", "CAL", "Cals"), F.lit("Cal")).otherwise(F.lower(plain))
 
 
@@ -124,6 +126,7 @@ def parsed_text(text):
     stone = rf"(?i){_NUMBER}\s*(?:st|stones?)\.?\s*{_NUMBER}\s*(?:lbs?|pounds?)?\.?\s*$"
     plain = rf"{_NUMBER}\s*(.*?)\s*$"
     two = lambda pattern, k: number(F.regexp_extract(text, pattern, 1)) * k + number(F.regexp_extract(text, pattern, 2))
+    text = F.regexp_replace(text, SPACES, " ")
     clean = F.when(text.rlike(hours), F.struct(two(hours, 60).alias("amount"), F.lit("min").alias("unit")))
     clean = clean.when(text.rlike(stone), F.struct(two(stone, 14).alias("amount"), F.lit("lb").alias("unit")))
     return clean.when(text.rlike(plain), F.struct(number(F.regexp_extract(text, plain, 1)).alias("amount"), F.nullif(F.regexp_extract(text, plain, 2), F.lit("")).alias("unit")))
