@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 #: What a living wearer can have (lowest, highest).
 POSSIBLE = {"heart_rate": (20.0, 250.0), "respiratory_rate": (3.0, 70.0), "hrv_sdnn": (1.0, 400.0)}
-#: Standardised innovation from which a reading is withheld.
+#: Spreads from the source's middle from which a reading can be a spike.
 THRESHOLD = 5.0
+#: Spreads by which a spike stands out against its neighbours, and against raised ones (RAISED spreads from the middle).
+STANDS_OUT, STANDS_OUT_RAISED, RAISED = 4.5, 8.0, 3.5
 #: Withheld readings in a row that are still a spike; more are a change of level (effort), which is taken up.
 SPIKE_READINGS = 4
 #: Readings of one value in a row that are stuck at least, and at most.
@@ -30,42 +32,51 @@ def source_profile(readings: DataFrame) -> DataFrame:
 def kalman(s: np.ndarray, y: np.ndarray, possible: np.ndarray, mid: float, spread: float, interval: float) -> np.ndarray:
     """Flags spikes in one ordered series. State: the level, a random walk whose variance grows with the time passed.
 
-    A reading whose standardised innovation exceeds THRESHOLD is withheld. When more than SPIKE_READINGS are withheld in a
-    row, the level has moved: the filter restarts at the first of them and they are taken up. What stays withheld when the
-    series comes back is a spike. Impossible readings are skipped, they neither move the level nor end a row.
+    A reading far from the source's middle whose standardised innovation is large is withheld from the state. When more than
+    SPIKE_READINGS are withheld in a row, the level has moved: the filter restarts at the first of them and they are taken
+    up. When the series comes back earlier, a withheld reading is a spike if it stands out against the level before and the
+    reading after, by more where those are themselves raised: a climb over several readings is effort. Impossible readings
+    are skipped, they neither move the level nor end a row.
     """
     n = len(y)
     flagged = np.zeros(n, bool)
-    if not n:
-        return flagged
     r = spread * spread
     drift = 0.35 * r / max(60.0, min(interval, 600.0))  # variance per second
-    level, p, at = mid, 4.0 * r, s[0]
+    level, p, at = mid, 4.0 * r, s[0] if n else 0.0
     held: list[int] = []
-    i = 0
-    while i < n:
-        if not possible[i]:
-            i += 1
-            continue
+
+    def settle(after: float) -> bool:
+        """Flags what is held; after: the reading that follows."""
+        raised = max(abs(level - mid), abs(after - mid)) > RAISED * spread
+        need = (STANDS_OUT_RAISED if raised else STANDS_OUT) * spread
+        spikes = [j for j in held if min(abs(y[j] - level), abs(y[j] - after)) > need]
+        flagged[spikes] = True
+        return len(spikes) == len(held)
+
+    def update(i: int) -> None:
+        nonlocal level, p, at
+        prior = p + drift * min(s[i] - at, 1800.0)
+        gain = prior / (prior + r)
+        level, p, at = level + gain * (y[i] - level), gain * r, s[i]
+
+    for i in np.flatnonzero(possible):
         prior = min(p + drift * min(s[i] - at, 1800.0), 3.0 * r)
-        z = (y[i] - level) / np.sqrt(prior + r)
-        # the spread, not the state's own uncertainty, decides what is far from usual
-        if abs(y[i] - level) > THRESHOLD * spread and abs(z) > THRESHOLD / 1.6:
+        innovation = abs(y[i] - level)
+        if abs(y[i] - mid) > THRESHOLD * spread and innovation > STANDS_OUT * spread and innovation > 2.5 * np.sqrt(prior + r):
             held.append(i)
-            flagged[i] = True
             if len(held) > SPIKE_READINGS:
-                flagged[held] = False
                 level, p, at = y[held[0]], r, s[held[0]]
                 for j in held[1:]:
-                    gain = (p + drift * min(s[j] - at, 1800.0)) / (p + drift * min(s[j] - at, 1800.0) + r)
-                    level, p, at = level + gain * (y[j] - level), gain * r, s[j]
+                    update(j)
                 held = []
-            i += 1
             continue
+        if (held and not settle(y[i])) or innovation > STANDS_OUT * spread:
+            level, p, at = y[i], r, s[i]
+        else:
+            update(i)
         held = []
-        gain = prior / (prior + r)
-        level, p, at = level + gain * (y[i] - level), gain * r, s[i]
-        i += 1
+    if held:
+        settle(level)
     return flagged
 
 
