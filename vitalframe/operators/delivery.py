@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Identifiers that a shard should hold at most when it is first laid out.
-SHARD_ROWS = 500_000
+SHARD_ROWS = 200_000
 ENTRY = T.StructType(
     [
         T.StructField("key", T.BinaryType()),
