@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Draws that are tried for each source.
+SEEDS = 32
+
+
 def source_key(source: Column) -> Column:
     """A source's name without case, outer space and the choice of -, _ or space; null for null and blank."""
     plain = F.regexp_replace(F.lower(F.regexp_replace(source, r"^[\s ]+|[\s ]+$", "")), r"[\s -]+", "_")
@@ -63,8 +67,9 @@ def plan_rates(sizes: dict[str, float], targets: list[tuple[str, float, int]], t
 def mix(records: DataFrame, targets: DataFrame, key: str, source: str, size: str, seed: int = 7, total: float | None = None) -> DataFrame:
     """(key, copy_no, source, size, place): each record as often as its inverted Poisson count says, in globally shuffled order.
 
-    The count is the number of thresholds below a uniform number hashed from seed and key, at most the source's
-    max_repeats: a record's fate depends on nothing but its key, so reruns and lost executors change nothing. Sources are
+    The count is the number of thresholds below a uniform number hashed from a seed and the key, at most the source's
+    max_repeats: a record's fate depends on nothing but its key, so reruns and lost executors change nothing. Of SEEDS
+    seeds each source takes the one whose draw comes nearest to its expected size (one pass of partial sums tells). Sources are
     compared by source_key; records with a null source or one without a target are left out; a null size counts as 0.
     Rows repeating a key share its fate. targets (source, target_share, max_repeats; a row a source) is a fixed table of a
     few rows: it and the sizes of its sources are gathered on the driver and the thresholds broadcast.
@@ -78,10 +83,15 @@ def mix(records: DataFrame, targets: DataFrame, key: str, source: str, size: str
     sizes = {r["_source"]: float(r["n"]) for r in rows.filter(F.col("_source").isin(*wanted)).groupBy("_source").agg(F.sum("_size").alias("n")).collect()} if wanted else {}
     plan = plan_rates(sizes, list(wanted.values()), total)
     table = spark.createDataFrame([(s, cdf) for s, (_, cdf) in plan.items()], "_source string, _cdf array<double>")
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    counted = rows.join(F.broadcast(table), "_source").withColumn("_u", uniform).withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
+    uniform = lambda salt: (F.pmod(F.xxhash64(salt, F.col(key)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
+    count = lambda salt: F.size(F.filter("_cdf", lambda c: c < uniform(salt)))
+    planned = rows.join(F.broadcast(table), "_source")
+    draws = planned.groupBy("_source").agg(*[F.sum(F.col("_size") * count(F.lit(seed + i))).alias(f"d{i}") for i in range(SEEDS)]).collect()
+    best = {r["_source"]: seed + min(range(SEEDS), key=lambda i: abs(r[f"d{i}"] - plan[r["_source"]][0] * sizes[r["_source"]])) for r in draws}
+    salts = spark.createDataFrame(list(best.items()), "_source string, _salt int")
+    counted = planned.join(F.broadcast(salts), "_source").withColumn("_n", count(F.col("_salt")))
     copies = counted.filter("_n > 0").select(F.col(key).alias(key), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy_no"), F.col("_source").alias("source"), F.col("_size").alias(size))
-    place = F.xxhash64(F.lit(seed + 1), F.col(key), F.col("copy_no"))
+    place = F.xxhash64(F.lit(seed + SEEDS), F.col(key), F.col("copy_no"))
     return copies.withColumn("place", place).orderBy("place", key, "copy_no")
 
 
