@@ -102,17 +102,19 @@ class DeliveryStore:
         schema = "shard int, bucket long, bitmap binary"
         return self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/bits") if version else self.spark.createDataFrame([], schema)
 
-    def admit(self, arrivals: DataFrame, no: str, keys: str, origin: str | None = None, commit: bool = True) -> DataFrame:
+    def admit(self, arrivals: DataFrame, no: str, keys: str, origin: str | None = None, at: int | None = None) -> DataFrame:
         """Takes a batch: `no` is a unique number in arrival order (within `origin`), `keys` an array of identifier bytes.
 
         Returns the surplus arrivals as (origin, no): those one of whose identifiers has its bit set by an earlier
         batch or belongs to an arrival with a smaller `no`. Arrivals without identifiers are never surplus. Repeated
-        identifiers in one array count once. Identifiers of different origins must carry different tags.
+        identifiers in one array count once. Identifiers of different origins must carry different tags. `at`: the version
+        the batch builds on, if not the current one; a batch that is replayed after a failure names the same version again
+        and gets the same answer, whether or not it was committed before.
 
         Scale: the dictionary is built from partial aggregates (a hot identifier is one row per map task); the way back
         is an equi-join with the identifiers that occur again only, which adaptive execution splits when skewed.
         """
-        before = self.version()
+        before = self.version() if at is None else min(at, self.version())
         shards = self.shards(before) or max(1, -(-arrivals.count() // SHARD_ROWS))
         here = f"{self.path}/v{before + 1}"
         flat = arrivals.select(
@@ -133,13 +135,12 @@ class DeliveryStore:
         entries = self.spark.read.schema(ENTRY).parquet(f"{here}/entries")
         place = {"bucket": F.expr("bitmap_bucket_number(code)"), "position": F.expr("bitmap_bit_position(code)")}
         seen_before = self.bits(before)
-        if commit:
-            new = entries.withColumns(place).groupBy("shard", "bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bitmap"))
-            union = new.unionByName(seen_before).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
-            union.write.mode("overwrite").parquet(f"{here}/bits")
-            if not before:
-                self._write("v1/SHARDS", str(shards))
-            self._write("CURRENT", str(before + 1))
+        new = entries.withColumns(place).groupBy("shard", "bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bitmap"))
+        union = new.unionByName(seen_before).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+        union.write.mode("overwrite").parquet(f"{here}/bits")
+        if not before:
+            self._write("v1/SHARDS", str(shards))
+        self._write("CURRENT", str(before + 1))
         again = entries
         if before:
             octet = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

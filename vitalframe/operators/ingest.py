@@ -176,7 +176,7 @@ def parity(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left").withColumn("theirs", F.coalesce("theirs", F.lit(0))).withColumn("ratio", F.round(F.try_divide("ours", "theirs"), 3))
 
 
-VENDOR = T.StructType.fromDDL(
+VENDOR = (
     "created_at string, start string, end string, nap boolean, score struct<recovery_score: double, hrv_rmssd_milli: double, strain: double, sleep_efficiency_percentage: double, respiratory_rate: double,"
     "sleep_needed: struct<baseline_milli: double>, stage_summary: struct<total_light_sleep_time_milli: double, total_slow_wave_sleep_time_milli: double, total_rem_sleep_time_milli: double, total_awake_time_milli: double, total_in_bed_time_milli: double>>"
 )

@@ -314,7 +314,7 @@ def o66_half_trend(spark, sf_dir):
 
 
 _UPPER = "list_sort(list({v}) filter ({f}))[cast(count({v}) filter ({f}) // 2 as integer) + 1]"
-ANCHOR = "2015-04-20"
+ANCHOR = "2015-03-15"
 
 
 @query(f"""with {_SERIES}, c as (select device_key, metric, {_UPPER.format(v='value', f=f"value is not null and date >= date '{ANCHOR}' - 30 and date <= date '{ANCHOR}'")} as current,
