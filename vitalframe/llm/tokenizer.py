@@ -19,8 +19,8 @@ from vitalframe.session import cut
 
 #: Words of more bytes are merged by a heap in an Arrow UDF: the fold's cost grows with the square of a word's length.
 LONG_WORD_BYTES = 96
-#: A dictionary of at most so many words, of at most LONG_WORD_BYTES each, is broadcast (about 30 MB); a larger one is shuffled.
-BROADCAST_WORDS = 150_000
+#: A dictionary of at most so many bytes (words, ids and 60 bytes a row) is broadcast; a larger one is shuffled.
+BROADCAST_BYTES = 24_000_000
 #: The literal rank map is an array of so many small maps, since a lookup in a map literal walks through it.
 BUCKETS = 16384
 _NO_RANK = 2**31 - 1
@@ -148,7 +148,7 @@ def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str
     """
     path = path or vocabulary_path()
     known = dictionary(texts, text, path)
-    small = known.filter(F.octet_length("word") > LONG_WORD_BYTES).limit(1).count() == 0 and known.count() <= BROADCAST_WORDS
+    small = (known.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 60)).first()[0] or 0) <= BROADCAST_BYTES
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"), F.octet_length(text).alias("n"))
     rows = rows.groupBy("key", "h", "n").agg(F.first("text").alias("text"))
     tokens = rows.select("key", "h", "n", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
