@@ -39,19 +39,19 @@ def trailing_totals(daily: DataFrame, asked: DataFrame, widest: int, tile_days:
     """
     spark = daily.sparkSession
     buckets = partitions(spark, 16) * 4
-    bucket = F.pmod(F.xxhash64("device_key", "metric"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("device_key", "metric"), F.lit(buckets)).alias("_bucket")
     day = F.datediff("date", F.lit("1970-01-01"))
     asked = asked.filter("device_key is not null and metric is not null and date is not null and window_days >= 1")
     if widest > tile_days:
         tile_days = widest
-    own = F.floor(F.col("day") / tile_days)
+    own = F.floor(F.col("_day") / tile_days)
     facts = daily.filter("device_key is not null and metric is not null and date is not null and value is not null and not isnan(value)")
-    facts = facts.select(bucket, "device_key", "metric", day.alias("day"), "value")
+    facts = facts.select(bucket, "device_key", "metric", day.alias("_day"), "value")
     # a day serves its own tile and, within `widest` days of the end, the next one
-    facts = facts.withColumn("tile", F.explode(F.array_distinct(F.array(own, F.floor((F.col("day") + widest) / tile_days)))))
+    facts = facts.withColumn("_tile", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_day") + widest) / tile_days)))))
     # aliases: `asked` may descend from `daily`, whose columns cogroup would mix up with these
-    asked = asked.select(bucket, day.alias("day"), *[F.col(f"`{c}`").alias(c) for c in asked.columns]).withColumn("tile", own)
-    kept = [f for f in asked.schema.fields if f.name not in ("bucket", "tile", "day")]
+    asked = asked.select(bucket, day.alias("_day"), *[F.col(f"`{c}`").alias(c) for c in asked.columns]).withColumn("_tile", own)
+    kept = [f for f in asked.schema.fields if f.name not in ("_bucket", "_tile", "_day")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", r_total double, r_mean double, r_days int"
 
     def block(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -64,11 +64,11 @@ def trailing_totals(daily: DataFrame, asked: DataFrame, widest: int, tile_days:
             row = entities.get_indexer(pd.MultiIndex.from_frame(left[["device_key", "metric"]])) if len(left) else np.array([], int)
             mine = row >= 0
             values, present = np.zeros((len(entities), widest + tile_days)), np.zeros((len(entities), widest + tile_days))
-            col = left["day"].to_numpy()[mine] - start
+            col = left["_day"].to_numpy()[mine] - start
             inside = (col >= 0) & (col < widest + tile_days)
             np.add.at(values, (row[mine][inside], col[inside]), left["value"].to_numpy()[mine][inside])
             np.add.at(present, (row[mine][inside], col[inside]), 1)
-            at = entities.get_indexer(ids), right["day"].to_numpy() - start - widest
+            at = entities.get_indexer(ids), right["_day"].to_numpy() - start - widest
             widths = right["window_days"].to_numpy()
             for w in np.unique(widths):
                 m, b = widths == w, band(int(w), widest, tile_days)
@@ -76,7 +76,7 @@ def trailing_totals(daily: DataFrame, asked: DataFrame, widest: int, tile_days:
         out["r_total"], out["r_mean"], out["r_days"] = totals, totals / np.maximum(right["window_days"].to_numpy(), 1), counts.astype("int32")
         return out
 
-    return facts.groupBy("bucket", "tile").cogroup(asked.groupBy("bucket", "tile")).applyInPandas(block, schema)
+    return facts.groupBy("_bucket", "_tile").cogroup(asked.groupBy("_bucket", "_tile")).applyInPandas(block, schema)
 
 
 def every_day(daily: DataFrame, windows: list[int]) -> DataFrame:

@@ -147,14 +147,14 @@ def to_common_units(samples: DataFrame, policy: DataFrame) -> DataFrame:
     one = policy.filter("metric is not null").groupBy("metric").agg(F.max("unit").alias("_t"))
     by_type = policy.filter("hk_type is not null").groupBy("hk_type").agg(F.max("unit").alias("_t2"))
     policy_rows = F.broadcast(one), F.broadcast(by_type)
-    df = samples.join(policy_rows[0], "metric", "left").join(policy_rows[1], "hk_type", "left").withColumn("common_unit", F.when(F.col("metric").isNotNull(), F.col("_t")).otherwise(F.col("_t2")))
+    df = samples.join(policy_rows[0], "metric", "left").join(policy_rows[1], "hk_type", "left").withColumn("_target", F.when(F.col("metric").isNotNull(), F.col("_t")).otherwise(F.col("_t2")))
     has_value = F.col("value").isNotNull() & ~F.isnan("value")
     df = df.withColumn("_p", F.when(~F.coalesce(has_value, F.lit(False)), parsed_text(F.col("text_value"))))
-    df = df.withColumns({"_amount": F.when(has_value, F.col("value")).otherwise(F.col("_p.amount")), "_unit": F.coalesce(spelling(F.col("_p.unit")), F.nullif(spelling(F.col("unit")), F.lit("")), spelling(F.col("common_unit")))})
-    fraction = (F.col("common_unit") == "%") & (F.abs("_amount") <= FRACTION_UP_TO)
+    df = df.withColumns({"_amount": F.when(has_value, F.col("value")).otherwise(F.col("_p.amount")), "_unit": F.coalesce(spelling(F.col("_p.unit")), F.nullif(spelling(F.col("unit")), F.lit("")), spelling(F.col("_target")))})
+    fraction = (F.col("_target") == "%") & (F.abs("_amount") <= FRACTION_UP_TO)
     df = df.withColumn("_unit", F.when(fraction, F.lit("fraction")).otherwise(F.col("_unit")))
-    table = conversion_table(spark).withColumnsRenamed({"spelling": "_unit", "target": "common_unit", "unit": "source_unit"})
-    df = df.join(F.broadcast(table), ["_unit", "common_unit"], "left")
-    common = F.col("_amount") * F.col("scale") + F.col("shift")
-    changed = F.col("_amount").isNotNull() & F.col("source_unit").isNotNull() & (~F.coalesce(has_value, F.lit(False)) | (F.col("source_unit") != F.col("common_unit")))
-    return df.select(*samples.columns, "common_unit", common.alias("common_value"), "source_unit", changed.alias("changed"))
+    table = conversion_table(spark).select(F.col("spelling").alias("_unit"), F.col("target").alias("_target"), F.col("unit").alias("_source"), F.col("scale").alias("_scale"), F.col("shift").alias("_shift"))
+    df = df.join(F.broadcast(table), ["_unit", "_target"], "left")
+    common = F.col("_amount") * F.col("_scale") + F.col("_shift")
+    changed = F.col("_amount").isNotNull() & F.col("_source").isNotNull() & (~F.coalesce(has_value, F.lit(False)) | (F.col("_source") != F.col("_target")))
+    return df.select(*samples.columns, F.col("_target").alias("common_unit"), common.alias("common_value"), F.col("_source").alias("source_unit"), changed.alias("changed"))
