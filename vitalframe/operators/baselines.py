@@ -59,7 +59,7 @@ def compare_periods(daily: DataFrame, by: list[str], anchor: Column, days: int,
 def week_over_week(daily: DataFrame, by: list[str], anchor: Column) -> DataFrame:
     """(by..., avg_7d, avg_prev_7d, same_weekday_last_week, median): of (a-7, a], (a-14, a-7], day a-7 and all days."""
     d = F.datediff(F.col("date"), anchor)
-    avg = lambda keep: F.round(exact_avg(F.when(keep, F.col("value"))), 2)
+    avg = lambda keep: exact_avg(F.when(keep, F.col("value")))
     return daily.filter("value is not null").groupBy(*by).agg(
         avg((d > -7) & (d <= 0)).alias("avg_7d"), avg((d > -14) & (d <= -7)).alias("avg_prev_7d"), F.max(F.when(d == -7, F.col("value"))).alias("same_weekday_last_week"), upper_median(F.collect_list("value")).alias("median")
     )

@@ -14,8 +14,9 @@ STAGE_SOURCES = ["apple_watch_ultra", "zepp_helio", "whoop"]
 def read_only(spark: SparkSession, text: str, limit: int = 500) -> DataFrame:
     """The rows of a query, the first `limit`; anything but a query is refused by its parsed plan, not by its first word."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    name = plan.getClass().getName()
-    if ".command." in name or "Command" in name or "Statement" in name or name.endswith("SetCatalogAndNamespace"):
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{k}") for k in ("Command", "ParsedStatement")]
+    if any(k.isInstance(plan) for k in kinds):
         raise ValueError("only queries are allowed")
     return spark.sql(text).limit(limit)
 

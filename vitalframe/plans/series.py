@@ -77,7 +77,10 @@ _NORMAL = f"""
     normal as (select 'ch2:' || sha1(concat_ws('|', coalesce(hk_type, metric, 'None'), strftime(start_ts, '%Y-%m-%d %H:%M:%S'), strftime(end_ts, '%Y-%m-%d %H:%M:%S'), coalesce(source_name, 'None'), {CANON_SQL.format(v='value')}, coalesce(text_value, ''))) as sample_id,
         hk_uuid, batch_id, metric, hk_type, value, text_value, unit, start_ts, end_ts, source_name, device_key, sync_path from d)
 """
-_STAMPS = {"start_ts": F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss"), "end_ts": F.date_format("end_ts", "yyyy-MM-dd HH:mm:ss")}
+def stamped(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_ts", "end_ts")})
+
+
 _STAMPS_SQL = "strftime(start_ts, '%Y-%m-%d %H:%M:%S') as start_ts, strftime(end_ts, '%Y-%m-%d %H:%M:%S') as end_ts"
 
 
@@ -88,7 +91,7 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_NORMAL} select * replace (strftime(start_ts, '%Y-%m-%d %H:%M:%S') as start_ts, strftime(end_ts, '%Y-%m-%d %H:%M:%S') as end_ts) from normal")
 def o03_normalize(spark, sf_dir):
     """O-01, O-03 to O-11: a batch feed to store rows."""
-    return normalized(spark, sf_dir).withColumns(_STAMPS)
+    return stamped(normalized(spark, sf_dir))
 
 
 @query(f"with {_NORMAL} select metric, cast(min(start_ts) as date) as date_min, cast(max(start_ts) as date) as date_max, count(*) as rows from normal group by 1", text="date_min date_max")
@@ -105,7 +108,7 @@ def o04_canonical_value(spark, sf_dir):
     select sample_id, metric, device_key, value, text_value, {_STAMPS_SQL} from r where k = 1""")
 def o12_keep_first(spark, sf_dir):
     rows = ingest.keep_first(normalized(spark, sf_dir), "sample_id", ["batch_id", "hk_uuid"])
-    return rows.withColumns(_STAMPS).select("sample_id", "metric", "device_key", "value", "text_value", "start_ts", "end_ts")
+    return stamped(rows).select("sample_id", "metric", "device_key", "value", "text_value", "start_ts", "end_ts")
 
 
 @query("""with r as (select *, row_number() over (partition by date, metric, device_key order by computed_at desc, value desc nulls last, n_samples desc) as k from daily_values)
@@ -326,11 +329,11 @@ def o67_compare_periods(spark, sf_dir):
 
 
 @query(f"""with {_SERIES}, d as (select *, date - date '{ANCHOR}' as d from series where value is not null)
-    select device_key, metric, round(cast(sum(cast(value as decimal(24,4))) filter (d > -7 and d <= 0) as double) / nullif(count(*) filter (d > -7 and d <= 0), 0), 2) as avg_7d,
-        round(cast(sum(cast(value as decimal(24,4))) filter (d > -14 and d <= -7) as double) / nullif(count(*) filter (d > -14 and d <= -7), 0), 2) as avg_prev_7d,
+    select device_key, metric, round(cast(sum(cast(value as decimal(24,4))) filter (d > -7 and d <= 0) as double) / nullif(count(*) filter (d > -7 and d <= 0), 0), 6) as avg_7d,
+        round(cast(sum(cast(value as decimal(24,4))) filter (d > -14 and d <= -7) as double) / nullif(count(*) filter (d > -14 and d <= -7), 0), 6) as avg_prev_7d,
         max(value) filter (d = -7) as same_weekday_last_week, list_sort(list(value))[cast(count(*) // 2 as integer) + 1] as median from d group by 1, 2""")
 def o68_week_over_week(spark, sf_dir):
-    return baselines.week_over_week(series_of(spark, sf_dir), BY, F.lit(ANCHOR).cast("date"))
+    return baselines.week_over_week(series_of(spark, sf_dir), BY, F.lit(ANCHOR).cast("date")).withColumns({c: F.round(c, 6) for c in ("avg_7d", "avg_prev_7d")})
 
 
 @query(f"""with {_SERIES}, d as (select *, date - date '{ANCHOR}' as d from series where value is not null),
