@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,9 @@ def lab_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
     low = F.lower("line")
     found = F.transform(specs, lambda s: F.struct(s.alias("s"), F.get(F.filter(s["aliases"], lambda a: F.instr(low, a) > 0), F.lit(0)).alias("alias")))
     tails = F.transform(F.filter(found, lambda x: x["alias"].isNotNull()), lambda x: F.struct(x["s"].alias("s"), F.expr("line").substr(F.instr(low, x["alias"]) + F.length(x["alias"]), F.length("line")).alias("tail")))
-    df = lines_of(texts, key, text).withColumn("hit", F.get(F.filter(tails, lambda x: F.regexp_extract(x["tail"], _NUMBER, 0) != ""), F.lit(0))).filter("hit is not null")
+    any_alias = "|".join(re.escape(a) for _, al, _, _, _ in BIOMARKERS for a in al)
+    lines = lines_of(texts, key, text).filter(F.col("line").rlike("[0-9]") & low.rlike(any_alias))  # most lines go before the lists are tried
+    df = lines.withColumn("hit", F.get(F.filter(tails, lambda x: F.regexp_extract(x["tail"], _NUMBER, 0) != ""), F.lit(0))).filter("hit is not null")
     df = df.select(key, "line_no", F.col("hit.s").alias("s"), F.col("hit.tail").alias("tail"), F.regexp_extract("hit.tail", _NUMBER, 0).alias("raw"))
     df = df.withColumn("after", F.expr("substring(tail, instr(tail, raw) + length(raw))"))
     grab = lambda pattern, k: F.nullif(F.regexp_extract("after", pattern, k), F.lit("")).try_cast("double")
