@@ -34,7 +34,7 @@ LANGUAGES = list(LABELS)
 #: Languages that each script leaves open; Han and kana are counted together.
 SCRIPTS = {"latin": [x for x in LANGUAGES if x not in ("ru", "ja")], "cyrillic": ["ru"], "kana": ["ja"]}
 #: Labelled rows per language that the word model is fitted on at most (a documented bound; chosen by hash of the text).
-FIT_ROWS = 1200
+FIT_ROWS = 500
 #: Cost of a change of language between two sentences, in the units of word scores.
 SWITCH = 6.0
 #: Weight of a word's n-gram evidence; the n-grams of a word overlap, so the full sum would be overconfident.
