@@ -17,10 +17,11 @@ FIELDS = ["hk_type", "metric", "value", "text_value", "unit", "start_ts", "end_t
 def changes(batches: DataFrame, partial: bool = False) -> DataFrame:
     """Explodes batches into (key, at, op, batch_id, place, fields...), one row per change of a uuid.
 
-    at: microseconds of the instant in sent_at, received_at (as UTC) where that can't be read. op: 0 upsert, 1 delete;
+    at: microseconds of the instant in sent_at, received_at (as UTC) where that can't be read, before all others where
+    both are missing. op: 0 upsert, 1 delete;
     within one batch deletions follow samples. Samples without a uuid, blank deletions and null or empty lists give nothing.
     """
-    at = F.coalesce(F.unix_micros(F.expr("try_to_timestamp(sent_at)")), F.unix_micros(F.col("received_at").cast("timestamp")))
+    at = F.coalesce(F.unix_micros(F.expr("try_to_timestamp(sent_at)")), F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(-(1 << 62)))
     base = batches.select("batch_id", "delivery_no", at.alias("at"), "samples", "deleted")
     none = [F.lit(None).cast("string").alias(f) for f in FIELDS]
     up = base.select("batch_id", "delivery_no", "at", F.posexplode("samples").alias("place", "x"))
@@ -45,10 +46,8 @@ def replay(feed: DataFrame, fields: list[str], rounds: int = 2) -> DataFrame:
     spark = feed.sparkSession
     n = partitions(spark, 8)
     names = ["batch_id", *fields]
-    sequence = F.struct("at", F.coalesce("batch_id", F.lit("")).alias("b"), "op", F.coalesce("place", F.lit(0)).alias("p"))
-    # the sequence as text that sorts as the struct does
+    # the sequence as text that sorts as (at, batch_id, op, place) does
     order = F.concat(F.lpad((F.col("at") + F.lit(1 << 62)).cast("string"), 20, "0"), F.lit("|"), F.coalesce("batch_id", F.lit("")), F.lit("|"), F.col("op").cast("string"), F.lpad(F.coalesce("place", F.lit(0)).cast("string"), 9, "0"))
-    del sequence
     schema = "key string, seq string, dead string, up string, sets map<string,struct<seq:string,val:string>>"
     rows = feed.select("key", order.alias("seq"), "op", *names)
     rows = rows.repartition(n, "key", F.pmod(F.xxhash64("batch_id"), F.lit(n))).sortWithinPartitions("key", "seq")
@@ -71,7 +70,7 @@ def replay(feed: DataFrame, fields: list[str], rounds: int = 2) -> DataFrame:
                 else:
                     up = seq
                     for name, val in zip(names, row[3:]):
-                        if val is not None:
+                        if val is not None and val == val:
                             sets[name] = {"seq": seq, "val": val}
             yield pd.DataFrame(out, columns=["key", "seq", "dead", "up", "sets"])
         if key is not None:

@@ -11,7 +11,7 @@ from vitalframe.functions.columns import exact_avg, exact_sum
 PRIORITY = ["apple_watch_ultra", "whoop", "zepp_helio", "iphone", "zepp_life_scale", "myfitnesspal"]
 #: Stages counted as sleep.
 ASLEEP = ("asleep", "core", "deep", "rem")
-#: Weights of the parts of a confidence, and the lowest score of each grade.
+#: Weights of the parts of a confidence, the lowest score of each grade, the tolerance of agreement.
 WEIGHTS = {"rank": 0.35, "freshness": 0.25, "coverage": 0.2, "agreement": 0.2}
 GRADES = [("A", 0.85), ("B", 0.7), ("C", 0.5)]
 TOLERANCE_PCT = 12.0

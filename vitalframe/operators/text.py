@@ -39,10 +39,11 @@ LOG_WORDS = [
     ("water", "water|hydrat"),
     ("food", "ate|meal|lunch|dinner|breakfast|snack"),
 ]
+#: The forms of numbers, reference ranges and bounds.
 _NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
 _PLAIN = r"[0-9]+(?:\.[0-9]+)?"
 RANGE, BELOW, ABOVE = rf"({_PLAIN})\s*(?:-|–|to)\s*({_PLAIN})", rf"[<≤]\s*({_PLAIN})", rf"[>≥]\s*({_PLAIN})"
-#: A stated time: 4pm, at 4:30 PM, 7 a.m.; or at 16:00 with the word before it.
+#: A stated time, 4pm, at 4:30 PM, 7 a.m.; or at 16:00 with the word before it.
 STATED = r"\b(?:at\s+)?([0-9]{1,2})(?::([0-5][0-9]))?\s*([apAP])\.?[mM]\.?\b|\b[aA][tT]\s+([0-9]{1,2}):([0-5][0-9])\b"
 
 
@@ -105,6 +106,7 @@ def reference_text(low: Column, high: Column) -> Column:
 
 def panel_date(text: Column) -> Column:
     """The first date of the forms yyyy-MM-dd, dd/MM/yyyy, dd-MM-yyyy, in that order of forms; impossible dates are skipped."""
+    # fixed values
     forms = [("[0-9]{4}-[0-9]{2}-[0-9]{2}", "yyyy-MM-dd"), ("[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy"), ("[0-9]{2}-[0-9]{2}-[0-9]{4}", "dd-MM-yyyy")]
     return F.coalesce(*[F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(text, p, 0), F.lit("")), F.lit(f))) for p, f in forms])
 
