@@ -125,7 +125,7 @@ class DeliveryStore:
             old = self.entries(before)
             fresh = distinct.join(old.select("key", F.col("code").alias("old_code")), "key", "left")
             top = old.groupBy("shard").agg((F.max("code") + 1).alias("base"))
-            fresh = fresh.join(F.broadcast(top), "shard", "left")  # one row a shard
+            fresh = fresh.join(top, "shard", "left")
         else:
             fresh = distinct.withColumns({"old_code": F.lit(None).cast("long"), "base": F.lit(0).cast("long")})
         known = F.col("old_code").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,11 +81,26 @@ def lagged_pairs(daily: DataFrame, by: list[str], pairs: list[tuple[str, str]],
     return left.join(table, "a").join(right, [*by, "date", "b"])
 
 
-def theil_sen(daily: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., slope_per_week, n_pairs): the median slope over all pairs of days, times seven. For short series (a few weeks)."""
-    a = daily.filter("value is not null").select(*by, F.datediff("date", F.lit("1970-01-01")).alias("d1"), F.col("value").alias("v1"))
-    b = a.withColumnsRenamed({"d1": "d2", "v1": "v2"})
-    return a.join(b, by).filter("d1 < d2").groupBy(*by).agg((median((F.col("v2") - F.col("v1")) / (F.col("d2") - F.col("d1"))) * 7).alias("slope_per_week"), F.count(F.lit(1)).alias("n_pairs"))
+def theil_sen(daily: DataFrame, by: list[str], most_days: int = 3660) -> DataFrame:
+    """(by..., slope_per_week, n_pairs): the median slope over all pairs of days, times seven; series of one day give no row.
+
+    A series is a group's days (one row each, ten years at most, which is checked); its slopes are formed in numpy, so no
+    pairs leave the task.
+    """
+    rows = daily.filter("value is not null").select(*by, F.datediff("date", F.lit("1970-01-01")).alias("_d"), F.col("value").cast("double").alias("_v"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_days:
+            raise ValueError(f"a series of {len(pdf)} days; at most {most_days} are taken")
+        d, v = pdf["_d"].to_numpy(float), pdf["_v"].to_numpy(float)
+        i, j = np.triu_indices(len(pdf), 1)
+        apart = d[j] != d[i]
+        slopes = (v[j] - v[i])[apart] / (d[j] - d[i])[apart]
+        out = pdf[by].head(1 if len(slopes) else 0).copy()
+        return out.assign(slope_per_week=np.median(slopes) * 7 if len(slopes) else 0.0, n_pairs=len(slopes))
+
+    return rows.groupBy(*by).applyInPandas(one, f"{kinds}, slope_per_week double, n_pairs long")
 
 
 def weekend_rows(daily: DataFrame) -> DataFrame:

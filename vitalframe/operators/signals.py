@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -102,15 +104,29 @@ def stale_metrics(seen: DataFrame, policy: DataFrame, rank: Column, by: list[str
 
 
 def cooldown(alerts: DataFrame, by: list[str], ts: str, hours: float = 6.0) -> DataFrame:
-    """Alerts that are sent: the first per key and then the next at least `hours` after the one sent last.
+    """(by..., sent_at): the first alert per key and then the next at least `hours` after the one sent last.
 
-    The rule looks back at what was sent, so it is a fold over each key's alerts; they are first reduced to one per minute.
+    Whether an alert is sent depends on the one sent before, so each key is walked in order: rows are sorted within their
+    partition and streamed, one key and its last time are held, whatever the key's share. by: string columns, nulls are a
+    key of their own; alerts without a time are left out.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    ordered = alerts.filter(F.col(ts).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_set(us)).alias("_t"))
     gap = int(hours * 3_600_000_000)
-    sent = F.aggregate("_t", F.array().cast("array<bigint>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.get(a, F.size(a) - 1) >= gap), F.concat(a, F.array(t))).otherwise(a))
-    return ordered.select(*by, F.explode(sent).alias("_s")).select(*by, F.timestamp_micros("_s").alias("sent_at"))
+    rows = alerts.filter(F.col(ts).isNotNull()).select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).distinct()
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "_t")
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = object(), 0
+        for part in parts:
+            keys = list(zip(*[part[c].astype(object).where(part[c].notna(), None) for c in by])) if by else [()] * len(part)
+            times, keep = part["_t"].to_numpy(), []
+            for i, k in enumerate(keys):
+                if k != key or times[i] - last >= gap:
+                    key, last = k, times[i]
+                    keep.append(i)
+            yield part.iloc[keep]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(walk, kinds).select(*by, F.timestamp_micros("_t").alias("sent_at"))
 
 
 def dedupe_window(events: DataFrame, key: list[str], ts: str, order: str, seconds: int = 120) -> DataFrame:

@@ -58,7 +58,7 @@ def recompute_sink(raw: str, derived: str, derive, ts: str = "start_ts"):
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
         days = batch.select(F.to_date(ts).alias("date")).distinct()
-        touched = spark.read.parquet(raw).withColumn("date", F.to_date(ts)).join(F.broadcast(days), "date", "left_semi")  # the days of one batch
+        touched = spark.read.parquet(raw).withColumn("date", F.to_date(ts)).join(F.broadcast(days), "date", "left_semi")  # one row per calendar day at most
         write_days(derive(touched), derived)
 
     return write
