@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Identifiers that a shard should hold at most when it is first laid out.
-SHARD_ROWS = 200_000
+#: Identifiers that a shard should hold when it is first laid out: about one bitmap.
+SHARD_ROWS = 30_000
 ENTRY = T.StructType(
     [
         T.StructField("key", T.BinaryType()),
