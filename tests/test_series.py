@@ -84,6 +84,15 @@ def test_trailing_baseline(spark):
     assert (D + dt.timedelta(days=40), 30) not in got and got[D + dt.timedelta(days=40), 60].n_days == 8
 
 
+def test_signals_both_ways(spark):
+    df = days(spark, {i: float(i % 5) for i in range(20)})
+    joined = signals.signals(df, baselines.trailing_baseline(df, ["metric"], [30]), ["metric"])
+    beside = signals.judge(baselines.trailing_baseline(df, ["metric"], [30], keep_short=True))
+    cols = ["date", "value", "median", "mad", "delta_pct", "state"]
+    assert sorted(map(str, joined.select(*cols).collect())) == sorted(map(str, beside.select(*cols).collect()))
+    assert joined.filter("state = 'insufficient'").count() == 7
+
+
 def test_half_trend_and_periods(spark):
     r = baselines.half_trend(days(spark, {0: 100.0, 1: 100.0, 2: 104.0, 3: 104.0}), ["metric"]).first()
     assert (r.first_avg, r.second_avg, r.trend) == (100.0, 104.0, "rising")

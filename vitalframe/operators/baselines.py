@@ -13,8 +13,9 @@ def day_number(date: Column) -> Column:
     return F.datediff(date, F.lit("1970-01-01"))
 
 
-def trailing_baseline(daily: DataFrame, by: list[str], windows: list[int], min_days: int = 7) -> DataFrame:
-    """(by..., date, value, window_days, median, mad, n_days) of the values in [date - w, date); below `min_days` no row.
+def trailing_baseline(daily: DataFrame, by: list[str], windows: list[int], min_days: int = 7, keep_short: bool = False) -> DataFrame:
+    """(by..., date, value, window_days, median, mad, n_days) of the values in [date - w, date); below `min_days` no row,
+    or with `keep_short` one whose median and mad are null (and the other columns of `daily` stay).
 
     One range frame over the longest window and a filter of it for each shorter one. Null values don't count.
     """
@@ -25,7 +26,10 @@ def trailing_baseline(daily: DataFrame, by: list[str], windows: list[int], min_d
     df = df.withColumn("_v", F.array_sort(F.transform(F.filter("_past", lambda x: x["d"] >= day_number(F.col("date")) - F.col("window_days")), lambda x: x["value"])))
     n = F.size("_v")
     middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
-    df = df.withColumns({"n_days": n, "median": middle}).filter(F.col("n_days") >= min_days)
+    df = df.withColumns({"n_days": n, "median": F.when(n >= min_days, middle)})
+    if keep_short:
+        return df.withColumn("mad", F.when(F.col("median").isNotNull(), mad(F.col("_v"), F.col("median")))).drop("_past", "_v")
+    df = df.filter(F.col("n_days") >= min_days)
     return df.select(*by, "date", "value", "window_days", "median", mad(F.col("_v"), F.col("median")).alias("mad"), "n_days")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vitalframe.functions.columns import exact_avg, exact_sum
+from vitalframe.functions.columns import exact_sum
 
 #: Device kinds from the best down.
 PRIORITY = ["apple_watch_ultra", "whoop", "zepp_helio", "iphone", "zepp_life_scale", "myfitnesspal"]
@@ -30,10 +31,10 @@ def per_device(samples: DataFrame, policy: DataFrame, by: list[str]) -> DataFram
     """
     how = policy.groupBy("metric").agg(F.max("agg").alias("agg")).filter(F.col("agg").isin("sum", "avg", "last"))
     rows = samples.filter("value is not null and not isnan(value)").withColumn("date", day_of(F.col("metric"), F.col("start_ts"), F.col("end_ts"))).join(F.broadcast(how), "metric")
-    out = rows.groupBy(*by, "metric", "date", "device_key").agg(
-        exact_sum(F.col("value")).alias("s"), exact_avg(F.col("value")).alias("a"), F.max_by("value", F.struct("start_ts", "row_id")).alias("l"), F.count(F.lit(1)).alias("n"), F.max("agg").alias("agg")
-    )
-    value = F.when(F.col("agg") == "sum", F.col("s")).when(F.col("agg") == "avg", F.col("a")).otherwise(F.col("l"))
+    # one number that orders by (start, row_id): with a struct the aggregation would have to sort all rows
+    order = F.unix_micros(F.col("start_ts").cast("timestamp")).cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)") + F.col("row_id")
+    out = rows.groupBy(*by, "metric", "date", "device_key", "agg").agg(exact_sum(F.col("value")).alias("s"), F.count(F.lit(1)).alias("n"), F.max_by("value", F.when(F.col("agg") == "last", order)).alias("l"))
+    value = F.when(F.col("agg") == "sum", F.col("s")).when(F.col("agg") == "avg", F.col("s") / F.col("n")).otherwise(F.col("l"))
     return out.select(*by, "metric", "date", "device_key", F.round(value, 3).alias("value"), "n")
 
 
@@ -41,16 +42,18 @@ def sleep_hours(samples: DataFrame, stage: Column, by: list[str], no_stages: tup
     """(by..., date, device_key, value, n=1): hours asleep, the greater of direct sleep_duration rows and summed stages.
 
     Where a device has core, deep or rem stages, their sum counts and plain `asleep` doesn't. Devices of the kinds in
-    `no_stages` have only direct values. A full outer join of the two sides; values of 0 or less are left out.
+    `no_stages` have only direct values. Both sides meet by conditional sums in one pass, which is the full outer join of
+    their days; values of 0 or less are left out.
     """
-    day = F.to_date(F.coalesce("end_ts", "start_ts"))
-    direct = samples.filter("metric = 'sleep_duration' and value is not null").groupBy(*by, day.alias("date"), "device_key").agg(exact_sum(F.col("value")).alias("direct"))
-    stages = samples.filter("metric = 'sleep_analysis' and value is not null").withColumn("stage", stage).filter(~F.col("device_key").rlike("^(" + "|".join(no_stages) + ")"))
-    part = lambda *names: F.coalesce(exact_sum(F.when(F.col("stage").isin(*names), F.col("value"))), F.lit(0.0))
-    staged = stages.groupBy(*by, day.alias("date"), "device_key").agg(part("core", "deep", "rem").alias("deepish"), part("asleep").alias("plain"))
+    rows = samples.filter("metric in ('sleep_duration', 'sleep_analysis') and value is not null").withColumn("stage", stage)
+    staged = (F.col("metric") == "sleep_analysis") & ~F.col("device_key").rlike("^(" + "|".join(no_stages) + ")")
+    part = lambda *names: F.coalesce(exact_sum(F.when(staged & F.col("stage").isin(*names), F.col("value"))), F.lit(0.0))
+    sums = rows.groupBy(*by, F.to_date(F.coalesce("end_ts", "start_ts")).alias("date"), "device_key").agg(
+        exact_sum(F.when(F.col("metric") == "sleep_duration", F.col("value"))).alias("direct"), part("core", "deep", "rem").alias("deepish"), part("asleep").alias("plain")
+    )
     hours = F.when(F.col("deepish") > 0, F.col("deepish")).otherwise(F.col("plain")) / 60
-    both = direct.join(staged, [*by, "date", "device_key"], "full").withColumn("value", F.round(F.greatest("direct", hours), 2))
-    return both.filter("value > 0").select(*by, "date", "device_key", "value", F.lit(1).cast("long").alias("n"))
+    out = sums.withColumn("value", F.round(F.greatest("direct", hours), 2))
+    return out.filter("value > 0").select(*by, "date", "device_key", "value", F.lit(1).cast("long").alias("n"))
 
 
 def rank_of(device_key: Column, priority: list[str] = PRIORITY) -> Column:
@@ -103,16 +106,21 @@ def grade(score: Column) -> Column:
     return out.otherwise("D")
 
 
+def scored_values(samples: DataFrame, policy: DataFrame, stage: Column, by: list[str], now: str, priority: list[str] = PRIORITY) -> DataFrame:
+    """(by..., metric, date, device_key, value, n, rank, corroboration, score): arbitrated values with their unrounded score."""
+    devices = per_device(samples, policy, by).unionByName(sleep_hours(samples, stage, by).withColumn("metric", F.lit("sleep_duration")))
+    chosen = arbitrate(devices, by, priority).withColumn("last_day", F.max("date").over(Window.partitionBy(*by, "metric")))
+    rules = F.broadcast(policy.groupBy("metric").agg(F.max("agg").alias("agg"), F.max("cadence_hours").alias("cadence")))  # one row a metric
+    df = chosen.join(rules, "metric", "left")
+    fresh = freshness_ratio(F.lit(now).cast("timestamp_ntz"), F.col("date"), F.col("last_day"), F.coalesce("cadence", F.lit(26)))
+    score = confidence(F.col("rank"), fresh, coverage(F.col("n"), F.col("agg")), agreement(F.col("value"), F.map_values("corroboration")))
+    return df.select(*by, "metric", "date", "device_key", "value", "n", "rank", "corroboration", score.alias("score"))
+
+
 def daily_values(samples: DataFrame, policy: DataFrame, stage: Column, by: list[str], now: str, priority: list[str] = PRIORITY) -> DataFrame:
     """(by..., metric, date, value, device_key, n, confidence, grade, corroboration) of all metrics in one plan.
 
     `now` is a timestamp text; freshness counts on the last day of each (by..., metric) only.
     """
-    devices = per_device(samples, policy, by).unionByName(sleep_hours(samples, stage, by).withColumn("metric", F.lit("sleep_duration")))
-    chosen = arbitrate(devices, by, priority)
-    rules = F.broadcast(policy.groupBy("metric").agg(F.max("agg").alias("agg"), F.max("cadence_hours").alias("cadence")))
-    last = chosen.groupBy(*by, "metric").agg(F.max("date").alias("last_day"))
-    df = chosen.join(rules, "metric", "left").join(last, [*by, "metric"])
-    fresh = freshness_ratio(F.lit(now).cast("timestamp_ntz"), F.col("date"), F.col("last_day"), F.coalesce("cadence", F.lit(26)))
-    score = confidence(F.col("rank"), fresh, coverage(F.col("n"), F.col("agg")), agreement(F.col("value"), F.map_values("corroboration")))
-    return df.withColumn("score", score).select(*by, "metric", "date", "value", "device_key", "n", F.round("score", 3).alias("confidence"), grade(F.col("score")).alias("grade"), "corroboration")
+    df = scored_values(samples, policy, stage, by, now, priority)
+    return df.select(*by, "metric", "date", "value", "device_key", "n", F.round("score", 3).alias("confidence"), grade(F.col("score")).alias("grade"), "corroboration")

@@ -72,10 +72,14 @@ def signals(daily: DataFrame, baselines: DataFrame, by: list[str], rules: dict[s
 
     by includes metric; baselines: one row per (by..., date).
     """
-    df = daily.filter("value is not null").join(baselines.select(*by, "date", "median", "mad", "n_days"), [*by, "date"], "left")
+    return judge(daily.filter("value is not null").join(baselines.select(*by, "date", "median", "mad", "n_days"), [*by, "date"], "left"), rules)
+
+
+def judge(rows: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """Adds delta_pct and state to rows (metric, value, median, mad) that have their baseline beside them."""
     delta = F.round(F.try_divide(F.col("value") - F.col("median"), F.col("median")) * 100, 1)
     delta = F.when(delta == 0, 0.0).otherwise(delta)  # no negative zero
-    return df.withColumns({"delta_pct": delta, "state": state(F.col("metric"), F.col("value"), F.col("median"), F.col("mad"), rules)})
+    return rows.withColumns({"delta_pct": delta, "state": state(F.col("metric"), F.col("value"), F.col("median"), F.col("mad"), rules)})
 
 
 def state_counts(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -253,15 +253,8 @@ def o41_arbitration(spark, sf_dir):
 @query(f"""with {_DAILY} select subject, metric, date, value, device_key, n, cast(cast(score as decimal(10,4)) as double) as confidence, case when score >= 0.85 - 1e-12 then 'A' when score >= 0.7 - 1e-12 then 'B' when score >= 0.5 - 1e-12 then 'C' else 'D' end as grade from scored""", text="date")
 def o46_daily_values(spark, sf_dir):
     """O-42 to O-46, with the confidence to four places."""
-    s, p = samples_of(spark, sf_dir), table(spark, sf_dir, "metric_policy")
-    devices = daily.per_device(s, p, ["subject"]).unionByName(daily.sleep_hours(s, stage(), ["subject"]).withColumn("metric", F.lit("sleep_duration")))
-    chosen = daily.arbitrate(devices, ["subject"])
-    rules = F.broadcast(p.groupBy("metric").agg(F.max("agg").alias("agg"), F.max("cadence_hours").alias("cadence")))
-    last = chosen.groupBy("subject", "metric").agg(F.max("date").alias("last_day"))
-    df = chosen.join(rules, "metric", "left").join(last, ["subject", "metric"])
-    fresh = daily.freshness_ratio(F.lit(NOW).cast("timestamp_ntz"), F.col("date"), F.col("last_day"), F.coalesce("cadence", F.lit(26)))
-    score = daily.confidence(F.col("rank"), fresh, daily.coverage(F.col("n"), F.col("agg")), daily.agreement(F.col("value"), F.map_values("corroboration")))
-    return df.select("subject", "metric", "date", "value", "device_key", "n", score.cast("decimal(10,4)").cast("double").alias("confidence"), daily.grade(score).alias("grade"))
+    df = daily.scored_values(samples_of(spark, sf_dir), table(spark, sf_dir, "metric_policy"), stage(), ["subject"], NOW)
+    return df.select("subject", "metric", "date", "value", "device_key", "n", F.col("score").cast("decimal(10,4)").cast("double").alias("confidence"), daily.grade(F.col("score")).alias("grade"))
 
 
 # baselines and trends over the stored daily values, one series per device and metric
@@ -385,8 +378,8 @@ _SIGNALS = f"""{_BASE}, sig as (select s.device_key, s.metric, s.date, s.value,
 
 
 def signals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = series_of(spark, sf_dir)
-    return signals.signals(series, baselines.trailing_baseline(series, BY, [30]), BY)
+    series = baselines.trailing_baseline(series_of(spark, sf_dir), BY, [30], keep_short=True)
+    return signals.judge(series.filter("value is not null"))
 
 
 @query(f"with {_SIGNALS} select device_key, metric, date, value, round(median, 6) as median, case when delta_pct = 0 then 0.0::double else delta_pct end as delta_pct, state from states", text="date")
