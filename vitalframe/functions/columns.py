@@ -20,6 +20,17 @@ def median(column: Column) -> Column:
     return F.percentile(column, F.lit(0.5))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: column expressions that mention another repeat its work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def middle(ordered: Column) -> Column:
+    """Median of an ordered array without nulls; null for an empty one."""
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
 def upper_median(values: Column) -> Column:
     """sorted[n // 2] of an array without nulls; null for an empty one."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
@@ -27,10 +38,7 @@ def upper_median(values: Column) -> Column:
 
 def mad(values: Column, center: Column) -> Column:
     """Median of the absolute deviations from `center` of an array, unscaled."""
-    away = F.array_sort(F.transform(values, lambda x: F.abs(x - center)))
-    n = F.size(values)
-    low, high = F.get(away, F.floor((n - 1) / 2).cast("int")), F.get(away, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2)
+    return let(F.array_sort(F.transform(values, lambda x: F.abs(x - center))), middle)
 
 
 def canonical_number(value: Column, text: Column | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalframe.functions.columns import exact_avg, mad, upper_median
+from vitalframe.functions.columns import exact_avg, let, mad, middle, upper_median
 
 
 def day_number(date: Column) -> Column:
@@ -22,15 +22,16 @@ def trailing_baseline(daily: DataFrame, by: list[str], windows: list[int], min_d
     longest = max(windows)
     frame = Window.partitionBy(*by).orderBy(day_number(F.col("date"))).rangeBetween(-longest, -1)
     df = daily.withColumn("_past", F.collect_list(F.when(F.col("value").isNotNull(), F.struct(day_number(F.col("date")).alias("d"), "value"))).over(frame))
-    df = df.withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in windows])))
-    df = df.withColumn("_v", F.array_sort(F.transform(F.filter("_past", lambda x: x["d"] >= day_number(F.col("date")) - F.col("window_days")), lambda x: x["value"])))
-    n = F.size("_v")
-    middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
-    df = df.withColumns({"n_days": n, "median": F.when(n >= min_days, middle)})
-    if keep_short:
-        return df.withColumn("mad", F.when(F.col("median").isNotNull(), mad(F.col("_v"), F.col("median")))).drop("_past", "_v")
-    df = df.filter(F.col("n_days") >= min_days)
-    return df.select(*by, "date", "value", "window_days", "median", mad(F.col("_v"), F.col("median")).alias("mad"), "n_days")
+
+    def stats(w: int) -> Column:
+        values = F.array_sort(F.transform(F.filter("_past", lambda x: x["d"] >= day_number(F.col("date")) - w), lambda x: x["value"]))
+        enough = lambda v, x: F.when(F.size(v) >= min_days, x)
+        whole = lambda v, m: F.struct(F.lit(w).alias("window_days"), enough(v, m).alias("median"), enough(v, mad(v, m)).alias("mad"), F.size(v).alias("n_days"))
+        return let(values, lambda v: let(middle(v), lambda m: whole(v, m)))
+
+    # exploding also keeps the optimizer from copying these expressions into everything that mentions a median
+    df = df.withColumn("_s", F.explode(F.array(*[stats(w) for w in windows]))).select(*[c for c in daily.columns], "_s.*")
+    return df if keep_short else df.filter(F.col("n_days") >= min_days).select(*by, "date", "value", "window_days", "median", "mad", "n_days")
 
 
 def latest(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
