@@ -210,7 +210,7 @@ def segments_of(text: str | None, model: WordModel) -> list[tuple[int, str, floa
 def fit_on(texts: DataFrame, text: str, label: str, per_language: int = FIT_ROWS) -> WordModel:
     """Fits the word model on at most about `per_language` labelled rows of each language, picked by a hash of the text.
 
-    This sample is the only thing gathered on the driver, and its size doesn't grow with the corpus; everything else covers
+    Texts over 40,000 bytes aren't used for fitting. This sample is the only thing gathered on the driver, and its size doesn't grow with the corpus; everything else covers
     all rows.
     """
     known = texts.select(label_language(F.col(label)).alias("lang"), F.col(text).alias("text"), F.octet_length(text).alias("bytes")).filter("lang is not null and bytes > 0")
