@@ -131,3 +131,29 @@ def test_escalation(spark, tmp_path):
     out = pipeline.escalation_stream(spark.readStream.schema(df.schema).parquet(src))
     pipeline.run_available(out.writeStream.format("parquet").option("path", str(tmp_path / "o")), str(tmp_path / "cp"))
     assert [r.stage for r in spark.read.parquet(str(tmp_path / "o")).orderBy("ts").collect()] == ["open", "reminder", "urgent", "recovered", "open"]
+
+
+def test_recompute_span_and_slices():
+    assert pipeline.recompute_span(None, 99, 30) is None
+    assert pipeline.recompute_span(25, 20, 30) == 30
+    assert pipeline.recompute_span(299, 5, 30) is None
+    assert pipeline.recompute_span(300, 5, 30) == 2
+    a = dt.date(2026, 1, 1)
+    assert pipeline.slices(a, a) == []
+    got = pipeline.slices(a, a + dt.timedelta(days=130))
+    assert [(y - x).days for x, y in got] == [60, 60, 10] and got[0][0] == a and got[1][0] == got[0][1]
+
+
+@pytest.mark.parametrize("proposed,t,kind", [("symptom", "double espresso", "caffeine"), ("food", "a sore neck", "food"), (None, "a sore neck", "symptom"), (None, None, "note")])
+def test_guards(spark, proposed, t, kind):
+    df = spark.createDataFrame([(proposed, t)], "p string, x string")
+    assert df.select(text.guarded_kind(F.col("p"), F.col("x"))).first()[0] == kind
+    r = spark.range(1).select(text.guarded_amount(F.lit("2 x 100 mg/d")).alias("a"), text.guarded_amount(F.lit(">&#x2013;90")).alias("b"), text.guarded_amount(F.lit(None).cast("string")).alias("c")).first()
+    assert tuple(r) == ("2 x 100 mg/d", "", "")
+
+
+@pytest.mark.parametrize("q,label", [(0.005, "strong"), (0.01, "likely"), (0.05, "probable"), (0.1, "early"), (None, None)])
+def test_evidence(spark, q, label):
+    from vitalframe.operators import insights
+
+    assert col(spark, q, "double").select(insights.evidence(F.col("x"))).first()[0] == label

@@ -61,6 +61,18 @@ def benjamini_hochberg(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
     return df.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rk")).over(back))).drop("_rk", "_n")
 
 
+#: The bounds of q for strong, likely and probable findings.
+EVIDENCE = [("strong", 0.01), ("likely", 0.05), ("probable", 0.10)]
+
+
+def evidence(q: Column) -> Column:
+    """How far a finding goes by its q: strong, likely, probable or early; null for null."""
+    out = F.when(q.isNull(), None)
+    for name, bound in EVIDENCE:
+        out = out.when(q < bound, name)
+    return out.otherwise("early")
+
+
 def metric_pairs(daily: DataFrame, by: list[str], forbidden: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """(by..., a, b, date, x, y) of all pairs of metrics a < b on the dates that both have."""
     left = daily.filter("value is not null").select(*by, "date", F.col("metric").alias("a"), F.col("value").alias("x"))

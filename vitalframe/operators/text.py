@@ -120,6 +120,17 @@ def log_kind(text: Column) -> Column:
     return out.otherwise("note")
 
 
+def guarded_kind(proposed: Column, text: Column) -> Column:
+    """A proposed kind, overruled by the words of the text where those say caffeine or alcohol; without a proposal the words decide."""
+    said = log_kind(text)
+    return F.when(said.isin("caffeine", "alcohol"), said).otherwise(F.coalesce(proposed, said))
+
+
+def guarded_amount(amount: Column) -> Column:
+    """An amount of at most 40 letters, digits and `.,/x%-` or spaces; anything else gives an empty text."""
+    return F.when(amount.rlike(r"^[A-Za-z0-9_ .,/×%-]{0,40}$"), amount).otherwise("")
+
+
 def stated_minutes_ago(text: Column, now: Column) -> Column:
     """Minutes from the time stated in the text to `now`, null without one.
 

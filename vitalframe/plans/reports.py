@@ -62,6 +62,16 @@ def o143_log_kind(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.log_kind(F.col("text")).alias("kind"))
 
 
+_PROPOSED = "case doc_id % 3 when 0 then 'symptom' when 1 then 'food' end"
+
+
+@query(f"""with k as (select doc_id, {_PROPOSED} as proposed, case {_KIND} else 'note' end as said, source from documents)
+    select doc_id, case when said in ('caffeine', 'alcohol') then said else coalesce(proposed, said) end as kind, case when regexp_matches(source, '^[A-Za-z0-9_ .,/×%-]{{0,40}}$') then source else '' end as amount from k""")
+def o145_guards(spark, sf_dir):
+    proposed = F.when(F.col("doc_id") % 3 == 0, "symptom").when(F.col("doc_id") % 3 == 1, "food")
+    return table(spark, sf_dir, "documents").select("doc_id", text.guarded_kind(proposed, F.col("text")).alias("kind"), text.guarded_amount(F.col("source")).alias("amount"))
+
+
 @query(rf"""with g as (select doc_id, created_at, regexp_extract(text, '{text.STATED}', ['h', 'm', 'p', 'bh', 'bm']) as g from documents where text is not null),
     t as (select doc_id, hour(created_at) * 60 + minute(created_at) as at0, try_cast(nullif(g.h, '') as integer) as h, coalesce(try_cast(nullif(g.m, '') as integer), try_cast(nullif(g.bm, '') as integer), 0) as mi, lower(g.p) as p, try_cast(nullif(g.bh, '') as integer) as bh from g)
     select * from (select doc_id, cast(case when p <> '' then case when h <= 12 then ((at0 - ((h % 12 + case when p = 'p' then 12 else 0 end) * 60 + mi)) % 1440 + 1440) % 1440 end when bh > 23 then null when bh > 12 then ((at0 - (bh * 60 + mi)) % 1440 + 1440) % 1440
@@ -246,7 +256,7 @@ def o85_freshness(spark, sf_dir):
 
 def landed(spark: SparkSession, sf_dir: str, columns: list[str], where: str = "true", files: int = 4) -> DataFrame:
     """The log of samples as a stream: written to a landing folder in `files` parts in arrival order and read from there."""
-    path = scratch(spark, "landing")
+    path = f"{scratch(spark, 'landing')}/rows"
     rows = table(spark, sf_dir, "samples").filter(where).select("row_id", *columns)
     rows.repartitionByRange(files, "row_id").write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -554,6 +554,13 @@ def o104_false_discovery(spark, sf_dir):
     return rounded(insights.benjamini_hochberg(tests, "p", ["subject", "a", "b"]).select("subject", "a", "b", "q"), "q")
 
 
+@query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (order by pr, subject, a, b) as k, count(*) over () as c from o),
+    qs as (select subject, a, b, cast(cast(least(1.0, min(pr * c / k) over (order by k desc rows unbounded preceding)) as decimal(18,6)) as double) as q from r)
+    select subject, a, b, case when q < 0.01 then 'strong' when q < 0.05 then 'likely' when q < 0.1 then 'probable' when q is not null then 'early' end as evidence from qs""")
+def o112_evidence(spark, sf_dir):
+    return o104_false_discovery(spark, sf_dir).select("subject", "a", "b", insights.evidence(F.col("q")).alias("evidence"))
+
+
 @query()
 def o110_findings(spark, sf_dir):
     """O-76 to O-78, O-110: one pool, one correction, then at most three findings a subject that share no metric."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,29 @@ def recompute_sink(raw: str, derived: str, derive, ts: str = "start_ts"):
     return write
 
 
+def recompute_span(waiting_s: float | None, quiet_s: float, full_days: int, quiet: float = 20.0, forced: float = 300.0, forced_days: int = 2) -> int | None:
+    """How many days a debounced recomputation covers now, None for not yet.
+
+    waiting_s: since the first pending batch, None without one; quiet_s: since the last. A quiet feed gets the full span
+    of what is pending; one that never falls quiet gets a short span every `forced` seconds.
+    """
+    if waiting_s is None:
+        return None
+    if quiet_s >= quiet:
+        return full_days
+    return min(full_days, forced_days) if waiting_s >= forced else None
+
+
+def slices(start: date, end: date, days: int = 60) -> list[tuple[date, date]]:
+    """[start, end) cut into half-open pieces of at most `days`, for a re-read of history piece by piece."""
+    out = []
+    while start < end:
+        stop = min(end, start + timedelta(days=days))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 class Cooldown(StatefulProcessor):
     """Passes the first alert of a key and then those at least `hours` after the one passed last."""
 
