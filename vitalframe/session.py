@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session; they needn't have it on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_vitalframe_sent", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="vitalframe-"), "vitalframe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.join("vitalframe", os.path.relpath(os.path.join(folder, n), here)))
+    context.addPyFile(archive)
+    # stateful streaming workers take no files, only the path
+    paths = [os.path.dirname(here), *filter(None, [context.environment.get("PYTHONPATH")])]
+    context.environment["PYTHONPATH"] = os.pathsep.join(paths)
+    context._vitalframe_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table `name` of the data folder `sf_dir`."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
