@@ -157,3 +157,19 @@ def test_evidence(spark, q, label):
     from vitalframe.operators import insights
 
     assert col(spark, q, "double").select(insights.evidence(F.col("x"))).first()[0] == label
+
+
+def test_day_windows_lose_no_rows(spark, tmp_path):
+    """Rows weeks late, in the last part as in the first, and days still open count."""
+    from vitalframe.plans import reports, series  # noqa: F401  reports registers its queries with series
+
+    start = dt.datetime(2026, 1, 1)
+    at = [0, 1, 2, 3, 60, 61, 62, 63, 2, 20, 64, 65, 66, 1, 40, 67]  # days, four rows a part
+    rows = [(i, "steps" if i % 3 else "spo2", start + dt.timedelta(days=d, hours=i), 1.5 * i + 1) for i, d in enumerate(at)]
+    spark.createDataFrame(rows, "row_id long, metric string, start_ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/samples.parquet")
+    want = {}
+    for _, metric, ts, value in rows:
+        total, n = want.get((metric, str(ts.date())), (0.0, 0))
+        want[metric, str(ts.date())] = (total + value, n + 1)
+    got = series.QUERIES["o161_day_windows"](spark, str(tmp_path)).collect()
+    assert {(r.metric, r.date): (r.total, r.n) for r in got} == want and len(got) == len(want)

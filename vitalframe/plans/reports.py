@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -281,13 +284,41 @@ def o158_late_data(spark, sf_dir):
     return spark.read.parquet(f"{base}/daily").select("metric", F.col("date").cast("date").alias("date"), "total", "n")
 
 
-@query()
+def land_in_order(spark: SparkSession, rows: DataFrame, path: str, files: int = 4) -> Iterator[int]:
+    """Lands `rows` in `path` in parts of ascending row_id, the next part when the caller asks for it.
+
+    A stream run after each part gets the parts in this order, whatever the times of the files."""
+    staged = scratch(spark, "staged")
+    rows.repartitionByRange(files, "row_id").withColumn("part", F.spark_partition_id()).write.mode("append").partitionBy("part").parquet(staged)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = to(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in range(files):
+        folder = to(f"{staged}/part={part}")
+        for file in fs.listStatus(folder) if fs.exists(folder) else []:
+            if not fs.rename(file.getPath(), to(f"{path}/{file.getPath().getName()}")):
+                raise OSError(f"{file.getPath()} can't be moved to {path}")
+        yield part
+
+
+def stream_days(spark: SparkSession, rows: DataFrame, late: timedelta, files: int = 4) -> DataFrame:
+    """(metric, date, total, n) of all `rows` (row_id, metric, start_ts, value), which arrive in parts of ascending row_id."""
+    landing, days, raw, corrected, base = (scratch(spark, n) for n in ("landing", "days", "raw", "corrected", "stream"))
+    derive = lambda r: r.groupBy("metric", "date").agg(C.exact_sum(F.col("value")).alias("total"), F.count("value").alias("n"))
+    for _ in land_in_order(spark, rows, landing, files):
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        windows = pipeline.day_windows(stream, ["metric"], "start_ts", "value", f"{late.total_seconds():.0f} seconds")
+        pipeline.run_available(windows.writeStream.format("parquet").option("path", days), f"{base}/windows")
+        pipeline.run_available(stream.writeStream.foreachBatch(pipeline.late_sink(raw, corrected, derive, late)), f"{base}/late")
+    kind = "metric string, date date, total double, n long"
+    stored = [spark.read.schema(k).parquet(p) for k, p in ((kind, days), (kind, corrected), (rows.schema, raw))]
+    return pipeline.complete_days(*stored, derive)
+
+
+@query("select metric, cast(start_ts as date) as date, cast(sum(cast(value as decimal(24,4))) as double) as total, count(value) as n from samples where value is not null group by 1, 2", text="date")
 def o161_day_windows(spark, sf_dir):
-    """Tumbling days with a watermark of ten days; days still open at the end don't come out."""
-    base = scratch(spark, "stream")
-    days = pipeline.day_windows(landed(spark, sf_dir, ["metric", "start_ts", "value"], "value is not null"), ["metric"], "start_ts", "value", "10 days")
-    pipeline.run_available(days.writeStream.format("parquet").option("path", f"{base}/days"), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/days").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    """Tumbling days with a watermark of ten days; days of rows behind it are recomputed, days still open are added at the end."""
+    rows = table(spark, sf_dir, "samples").filter("value is not null").select("row_id", "metric", "start_ts", "value")
+    return stream_days(spark, rows, timedelta(days=10))
 
 
 @query()

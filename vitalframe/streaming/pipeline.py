@@ -65,6 +65,36 @@ def recompute_sink(raw: str, derived: str, derive, ts: str = "start_ts"):
     return write
 
 
+def late_sink(raw: str, corrected: str, derive, late: timedelta, ts: str = "start_ts"):
+    """A foreachBatch function beside day_windows: keeps all rows, and recomputes from them the days of rows that come after
+    the watermark, which the windows drop.
+
+    The watermark is the latest event time of the earlier batches less `late`. That of Spark is never ahead of it, so each
+    dropped row's day is recomputed; a day recomputed without need has the same total.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
+        kept = spark.read.parquet(raw).withColumn("date", F.to_date(ts))
+        newest = kept.filter(F.col("batch") < batch_id).agg(F.max(ts)).first()[0]
+        if newest is None:
+            return
+        days = kept.filter(F.col("batch") == batch_id).filter(F.date_add("date", 1) <= F.lit(newest - late)).select("date").distinct()
+        write_days(derive(kept.join(F.broadcast(days), "date", "left_semi")), corrected)  # one row per calendar day at most
+
+    return write
+
+
+def complete_days(emitted: DataFrame, corrected: DataFrame, raw: DataFrame, derive, ts: str = "start_ts") -> DataFrame:
+    """All days of the stream so far: those recomputed for late rows, the other days the windows let out, and from the raw
+    rows the days that are still open."""
+    closed = emitted.join(F.broadcast(corrected.select("date").distinct()), "date", "left_anti").unionByName(corrected)
+    # one row per calendar day at most
+    still_open = raw.withColumn("date", F.to_date(ts)).join(F.broadcast(closed.select("date").distinct()), "date", "left_anti")
+    return closed.unionByName(derive(still_open))
+
+
 def recompute_span(waiting_s: float | None, quiet_s: float, full_days: int, quiet: float = 20.0, forced: float = 300.0, forced_days: int = 2) -> int | None:
     """How many days a debounced recomputation covers now, None for not yet.
 
