@@ -45,3 +45,20 @@ def test_query(spark, db, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in cursor.fetchall())
+
+
+def test_flagship_keeps_wearers_apart(spark):
+    rows = entry.entry(spark).collect()
+    number = lambda key: int(key.rsplit("_", 1)[1]) if key[-1].isdigit() else 0
+    assert len({r.subject for r in rows}) > 1 and all(r.subject == number(r.device_key) // 4 for r in rows)
+
+
+def test_findings_of_devices_with_like_numbers(spark, tmp_path):
+    """Device numbers 1 and 9 and 41: their series aren't summed."""
+    import datetime as dt
+
+    rows = [(f"whoop_{k}", m, dt.date(2015, 3, 1) + dt.timedelta(days=i), float(i % 7 * sign + 9), dt.datetime(2015, 4, 1)) for k, sign in ((1, 1), (9, -1), (41, 1)) for m in ("steps", "active_energy") for i in range(60)]
+    spark.createDataFrame(rows, "device_key string, metric string, date date, value double, computed_at timestamp_ntz").write.parquet(f"{tmp_path}/daily_values.parquet")
+    spark.createDataFrame([], "device_key string, metric string, unit string, start_ts timestamp_ntz").write.parquet(f"{tmp_path}/samples.parquet")
+    got = entry.queries()["o110_findings"](spark, str(tmp_path)).collect()
+    assert {r.device_key for r in got if r.key == "pair:active_energy:steps"} == {"whoop_1", "whoop_9", "whoop_41"}

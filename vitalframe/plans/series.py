@@ -48,6 +48,12 @@ def subject(device: str = "device_key") -> Column:
     return (F.coalesce(number, F.lit(0)) % SUBJECTS).alias("subject")
 
 
+def wearer(device: str = "device_key") -> Column:
+    """Four device numbers in a row are a wearer's, so that wearers grow with the devices and each has a few of them."""
+    number = F.nullif(F.regexp_extract(device, "_([0-9]+)$", 1), F.lit("")).try_cast("int")
+    return F.floor(F.coalesce(number, F.lit(0)) / 4).cast("int").alias("subject")
+
+
 def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "samples").withColumn("subject", subject())
 
@@ -536,13 +542,13 @@ def o111_cutoff(spark, sf_dir):
 
 
 def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of tests: pairs, lagged pairs and weekends, with their metrics and effects."""
-    days = subject_days(spark, sf_dir)
-    pairs = insights.spearman(insights.metric_pairs(days, ["subject"]), ["subject", "a", "b"], "x", "y", 12)
-    lags = insights.spearman(insights.lagged_pairs(days, ["subject"], LAGS), ["subject", "a", "b"], "x", "y", 12)
-    named = lambda df, family: df.select("subject", F.concat_ws(":", F.lit(family), "a", "b").alias("key"), F.array("a", "b").alias("metrics"), F.col("rho").alias("effect"), "p")
-    weekend = insights.mann_whitney(insights.weekend_rows(days), ["subject", "metric"], "value", "weekend").filter("n1 >= 5 and n0 >= 5")
-    third = weekend.select("subject", F.concat_ws(":", F.lit("weekend"), "metric").alias("key"), F.array("metric").alias("metrics"), (F.col("u") / (F.col("n1") * F.col("n0"))).alias("effect"), "p")
+    """The pool of tests of each device: pairs, lagged pairs and weekends, with their metrics and effects."""
+    days = series_of(spark, sf_dir).filter("value is not null")
+    pairs = insights.spearman(insights.metric_pairs(days, ["device_key"]), ["device_key", "a", "b"], "x", "y", 12)
+    lags = insights.spearman(insights.lagged_pairs(days, ["device_key"], LAGS), ["device_key", "a", "b"], "x", "y", 12)
+    named = lambda df, family: df.select("device_key", F.concat_ws(":", F.lit(family), "a", "b").alias("key"), F.array("a", "b").alias("metrics"), F.col("rho").alias("effect"), "p")
+    weekend = insights.mann_whitney(insights.weekend_rows(days), ["device_key", "metric"], "value", "weekend").filter("n1 >= 5 and n0 >= 5")
+    third = weekend.select("device_key", F.concat_ws(":", F.lit("weekend"), "metric").alias("key"), F.array("metric").alias("metrics"), (F.col("u") / (F.col("n1") * F.col("n0"))).alias("effect"), "p")
     return named(pairs, "pair").unionByName(named(lags, "lag")).unionByName(third)
 
 
@@ -563,6 +569,6 @@ def o112_evidence(spark, sf_dir):
 
 @query()
 def o110_findings(spark, sf_dir):
-    """O-76 to O-78, O-110: one pool, one correction, then at most three findings a subject that share no metric."""
-    pool = insights.benjamini_hochberg(tests_of(spark, sf_dir), "p", ["subject", "key"])
-    return insights.choose_cards(pool, ["subject"])
+    """O-76 to O-78, O-110: one pool, one correction, then at most three findings a device that share no metric."""
+    pool = insights.benjamini_hochberg(tests_of(spark, sf_dir), "p", ["device_key", "key"])
+    return insights.choose_cards(pool, ["device_key"])
