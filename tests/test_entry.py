@@ -62,3 +62,28 @@ def test_findings_of_devices_with_like_numbers(spark, tmp_path):
     spark.createDataFrame([], "device_key string, metric string, unit string, start_ts timestamp_ntz").write.parquet(f"{tmp_path}/samples.parquet")
     got = entry.queries()["o110_findings"](spark, str(tmp_path)).collect()
     assert {r.device_key for r in got if r.key == "pair:active_energy:steps"} == {"whoop_1", "whoop_9", "whoop_41"}
+
+
+def test_findings_of_all_families(spark, tmp_path):
+    """A device for each family; trend and event findings come out, and no test of a forbidden pair."""
+    import datetime as dt
+
+    from vitalframe.plans import series
+
+    first, noise = dt.date(2015, 1, 15), lambda i: float(i * 7919 % 101)
+    value = {
+        "whoop_1": {"steps": lambda i: 100.0 + noise(i), "active_energy": lambda i: 50.0 + noise(i)},
+        "whoop_2": {"steps": lambda i: 100.0 + i},
+        "whoop_3": {"steps": lambda i: 200.0 + noise(i) - (150 if i % 5 == 1 else 0)},
+        "whoop_4": {"steps": lambda i: 100.0 + noise(i) + (200 if (first + dt.timedelta(days=i)).weekday() >= 5 else 0)},
+        "whoop_5": {"hrv_rmssd": lambda i: 50.0 + noise(i), "hrv_sdnn": lambda i: 40.0 + noise(i)},
+        "whoop_6": {"steps": lambda i: 100.0 + noise(i), "active_energy": lambda i: 100.0 + noise(i - 1)},
+    }
+    rows = [(d, m, first + dt.timedelta(days=i), f(i), dt.datetime(2015, 4, 1)) for d, ms in value.items() for m, f in ms.items() for i in range(60)]
+    spark.createDataFrame(rows, "device_key string, metric string, date date, value double, computed_at timestamp_ntz").write.parquet(f"{tmp_path}/daily_values.parquet")
+    taken = [("glucose_meter_3", "glucose", None, dt.datetime(2015, 1, 15, 18) + dt.timedelta(days=i)) for i in range(0, 60, 5)]
+    spark.createDataFrame(taken, "device_key string, metric string, unit string, start_ts timestamp_ntz").write.parquet(f"{tmp_path}/samples.parquet")
+    pool = {(r.device_key, r.key) for r in series.tests_of(spark, str(tmp_path)).collect()}
+    assert ("whoop_2", "trend:steps") in pool and ("whoop_3", "event:steps") in pool and not any(k.startswith("pair:hrv") for _, k in pool)
+    got = {(r.device_key, r.key) for r in entry.queries()["o110_findings"](spark, str(tmp_path)).collect()}
+    assert got >= {("whoop_1", "pair:active_energy:steps"), ("whoop_2", "trend:steps"), ("whoop_3", "event:steps"), ("whoop_4", "weekend:steps"), ("whoop_6", "lag:steps:active_energy")}

@@ -257,3 +257,14 @@ def test_empty_tables(spark):
     assert baselines.half_trend(none, ["metric"]).count() == 0
     assert insights.theil_sen(none, ["metric"]).count() == 0
     assert insights.choose_cards(spark.createDataFrame([], "subject string, key string, metrics array<string>, q double, effect double"), ["subject"]).count() == 0
+
+
+def test_qualifying_findings(spark):
+    rows = [
+        ("pair:hrv_rmssd:steps", "pair", ["hrv_rmssd", "steps"], 0.5, 0.2), ("pair:hrv_sdnn:steps", "pair", ["hrv_sdnn", "steps"], 0.9, 0.001), ("pair:hrv_sdnn:spo2", "pair", ["hrv_sdnn", "spo2"], -0.4, 0.05),
+        ("pair:hrv_rmssd:spo2", "pair", ["hrv_rmssd", "spo2"], 0.29, 0.01), ("pair:spo2:hrv_sdnn", "pair", ["spo2", "hrv_sdnn"], -0.4, 0.06), ("trend:steps", "trend", ["steps"], 0.2, 0.01),
+        ("weekend:steps", "weekend", ["steps"], 0.1, 0.24), ("event:steps", "event", ["steps"], 9.0, 0.25), ("lag:a:b", "lag", ["a", "b"], -0.3, 0.09),
+    ]
+    df = spark.createDataFrame([("s", *r) for r in rows], "subject string, key string, family string, metrics array<string>, effect double, q double")
+    got = {r.key: r.band for r in insights.qualifying(df, ["subject"]).collect()}
+    assert got == {"pair:hrv_rmssd:steps": "early", "pair:hrv_sdnn:spo2": "confirmed", "weekend:steps": "early", "lag:a:b": "confirmed"}

@@ -156,6 +156,27 @@ def best_cutoff(scan: DataFrame, by: list[str], lower_is_worse: bool = True, lea
     return ok.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 
 
+#: Q below which a finding is confirmed, and below which it is an early hint; the least rho of a finding that has one.
+CONFIRMED_Q, EARLY_Q, RHO_FLOOR = 0.10, 0.25, 0.30
+
+
+def qualifying(tests: DataFrame, by: list[str], anchor: str = "hrv_rmssd", spot: str = "hrv_sdnn") -> DataFrame:
+    """The tests (by..., family, metrics, effect, q) that can be shown, with their band: confirmed or early.
+
+    Pairs, lags and trends need a rho of RHO_FLOOR. A pair of metrics counts once whatever its order, the smallest q first, and
+    the pair of `spot` with a metric is dropped where that of `anchor` with it qualifies.
+    """
+    rho = F.col("family").isin("pair", "lag", "trend")
+    ok = tests.filter(F.col("q") < EARLY_Q).filter(~rho | (F.abs("effect") >= RHO_FLOOR))
+    # windows, not joins with itself, so that the pool is computed once
+    paired, has = F.col("family") == "pair", lambda one: F.array_contains("metrics", one)
+    ok = ok.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "family", F.when(paired, F.array_sort("metrics")).otherwise(F.array("key"))).orderBy("q", "key"))).filter("_k = 1")
+    partner = F.when(paired & (has(anchor) | has(spot)), F.array_except("metrics", F.array(F.lit(anchor), F.lit(spot)))[0])
+    ok = ok.withColumn("_partner", partner).withColumn("_stronger", F.max(paired & has(anchor)).over(Window.partitionBy(*by, "_partner")))
+    kept = ok.filter(~(paired & has(spot) & F.col("_stronger"))).drop("_k", "_partner", "_stronger")
+    return kept.withColumn("band", F.when(F.col("q") < CONFIRMED_Q, "confirmed").otherwise("early"))
+
+
 def choose_cards(findings: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """Greedy choice per group: by q, then effect (largest first), then key; a card is taken if it shares no metric with those taken.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalframe.functions import columns as C
 from vitalframe.operators import baselines, daily, ingest, insights, signals
-from vitalframe.session import table
+from vitalframe.session import cut, table
 
 SUBJECTS = 40
 NOW = "2015-02-05 12:00:00"
@@ -459,10 +459,12 @@ def o65_rank_average(spark, sf_dir):
 @query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)} select subject, a, b, n, cast(cast(rho as decimal(18,6)) as double) as rho, cast(cast(p as decimal(18,6)) as double) as p from tests""")
 def o105_correlations(spark, sf_dir):
     """O-31, O-100, O-101, O-105: Spearman of all pairs of metrics."""
-    pairs = insights.metric_pairs(subject_days(spark, sf_dir), ["subject"], (("hrv_rmssd", "hrv_sdnn"),))
+    pairs = insights.metric_pairs(subject_days(spark, sf_dir), ["subject"], FORBIDDEN)
     return rounded(insights.spearman(pairs, ["subject", "a", "b"], "x", "y", 12), "rho", "p")
 
 
+#: Measures of one thing that are never compared.
+FORBIDDEN = (("hrv_rmssd", "hrv_sdnn"),)
 LAGS = [("steps", "active_energy"), ("active_energy", "steps"), ("dietary_energy", "active_energy")]
 
 
@@ -542,14 +544,31 @@ def o111_cutoff(spark, sf_dir):
 
 
 def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of tests of each device: pairs, lagged pairs and weekends, with their metrics and effects."""
-    days = series_of(spark, sf_dir).filter("value is not null")
-    pairs = insights.spearman(insights.metric_pairs(days, ["device_key"]), ["device_key", "a", "b"], "x", "y", 12)
+    """The pool of tests of each device: pairs, lagged pairs, weekends, trends of the last four weeks and days after a late dose,
+    with their metrics and effects: rho, the difference of medians in percent (weekends) or the difference itself (doses).
+
+    Doses are matched to a device by its subject, as in o109_exposure."""
+    days, one = cut(series_of(spark, sf_dir).filter("value is not null")), ["device_key", "metric"]
+    pairs = insights.spearman(insights.metric_pairs(days, ["device_key"], FORBIDDEN), ["device_key", "a", "b"], "x", "y", 12)
     lags = insights.spearman(insights.lagged_pairs(days, ["device_key"], LAGS), ["device_key", "a", "b"], "x", "y", 12)
-    named = lambda df, family: df.select("device_key", F.concat_ws(":", F.lit(family), "a", "b").alias("key"), F.array("a", "b").alias("metrics"), F.col("rho").alias("effect"), "p")
-    weekend = insights.mann_whitney(insights.weekend_rows(days), ["device_key", "metric"], "value", "weekend").filter("n1 >= 5 and n0 >= 5")
-    third = weekend.select("device_key", F.concat_ws(":", F.lit("weekend"), "metric").alias("key"), F.array("metric").alias("metrics"), (F.col("u") / (F.col("n1") * F.col("n0"))).alias("effect"), "p")
-    return named(pairs, "pair").unionByName(named(lags, "lag")).unionByName(third)
+    recent = days.filter(F.col("date").between(F.date_sub(F.lit(ANCHOR).cast("date"), 28), F.lit(ANCHOR).cast("date")))
+    trends = insights.spearman(recent.withColumn("d", F.datediff("date", F.lit("1970-01-01"))), one, "value", "d", 12)
+    late = insights.exposure_days(doses(spark, sf_dir), ["subject"], 15)
+    exposed = insights.exposed_rows(days.withColumn("subject", subject() % 8), late, ["subject"])
+
+    def groups(rows: DataFrame, group: str) -> DataFrame:
+        return insights.mann_whitney(rows, one, "value", group).filter("n1 >= 5 and n0 >= 5").join(insights.group_medians(rows, one, group), one)
+
+    gap = F.col("median_1") - F.col("median_0")
+    percent = F.coalesce(F.try_divide(gap, F.abs("median_0")) * 100, F.lit(0.0))
+    weekends = groups(insights.weekend_rows(days), "weekend").filter((F.col("median_0") == 0) | (F.abs(percent) >= 5))
+
+    def named(df: DataFrame, family: str, effect: Column, *metrics: str) -> DataFrame:
+        return df.select("device_key", F.lit(family).alias("family"), F.concat_ws(":", F.lit(family), *metrics).alias("key"), F.array(*metrics).alias("metrics"), effect.alias("effect"), "p")
+
+    rho = F.col("rho")
+    pool = named(pairs, "pair", rho, "a", "b").unionByName(named(lags, "lag", rho, "a", "b")).unionByName(named(trends, "trend", rho, "metric"))
+    return pool.unionByName(named(weekends, "weekend", percent, "metric")).unionByName(named(groups(exposed, "exposed"), "event", gap, "metric"))
 
 
 @query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (order by pr, subject, a, b) as k, count(*) over () as c from o)
@@ -569,6 +588,6 @@ def o112_evidence(spark, sf_dir):
 
 @query()
 def o110_findings(spark, sf_dir):
-    """O-76 to O-78, O-110: one pool, one correction, then at most three findings a device that share no metric."""
+    """O-76 to O-78, O-110: five families in one pool, one correction, then at most three findings a device that share no metric."""
     pool = insights.benjamini_hochberg(tests_of(spark, sf_dir), "p", ["device_key", "key"])
-    return insights.choose_cards(pool, ["device_key"])
+    return insights.choose_cards(insights.qualifying(pool, ["device_key"]), ["device_key"])
