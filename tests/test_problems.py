@@ -291,3 +291,20 @@ def test_sleep_stages(spark):
     got = intervals.sleep_intervals(spark.createDataFrame(rows, "metric string, text_value string"))
     assert got.count() == 4
     assert got.filter(F.col("text_value").isNull()).count() == 1
+
+
+def test_stuck_across_tiles_of_uneven_density(spark):
+    """Dense readings, then one a day: a stuck stretch of eight days lies across a tile edge, whose halo has next to none of it."""
+    dense = [[i * 60, 60.0 + i * 37 % 23] for i in range(20000)]
+    days = 100
+    sparse = [[1_200_000 + d * 86400, 60.0 + d * 37 % 23] for d in range(days)]
+    length = (sparse[-1][0] - dense[0][0]) / 20100 * anomalies.TILE_INTERVALS
+    first = dt.datetime(2015, 1, 5, tzinfo=dt.timezone.utc).timestamp()
+    edge = (first // length + 1) * length - first
+    while edge < sparse[5][0]:
+        edge += length
+    at = min(range(5, days - 5), key=lambda d: abs(sparse[d][0] - edge))
+    for d in range(at - 4, at + 4):
+        sparse[d][1] = 70.5
+    got = flags(spark, dense + sparse)
+    assert {i for i, r in got.items() if r.stuck} == {20000 + d for d in range(at - 4, at + 4)}

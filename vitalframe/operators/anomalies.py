@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,8 +17,10 @@ THRESHOLD = 5.0
 STANDS_OUT, STANDS_OUT_RAISED, RAISED = 4.5, 8.0, 3.5
 #: Withheld readings in a row that are still a spike; more are a change of level (effort), which is taken up.
 SPIKE_READINGS = 4
-#: Readings of one value in a row that are stuck at least, and at most.
-STUCK_LEAST, STUCK_MOST = 7, 9
+#: Readings of one value in a row that are stuck at least.
+STUCK_LEAST = 7
+#: Runs that reach a length count for how a source repeats if they are as many, and as large a share of its runs; stuck ones are fewer.
+REPEAT_RUNS, REPEAT_SHARE = 30, 0.01
 #: A tile holds as many mean intervals, its halo on either side as many.
 TILE_INTERVALS, HALO_INTERVALS = 4096, 128
 
@@ -80,17 +84,84 @@ def kalman(s: np.ndarray, y: np.ndarray, possible: np.ndarray, mid: float, sprea
     return flagged
 
 
-def stuck(y: np.ndarray) -> np.ndarray:
-    """Runs in which the innovation between successive readings vanishes for longer than the source's repeats explain."""
-    n = len(y)
-    if n < STUCK_LEAST:
-        return np.zeros(n, bool)
-    opens = np.concatenate([[True], y[1:] != y[:-1]])
-    run = np.cumsum(opens) - 1
-    length = np.bincount(run)
-    usual = length[length < STUCK_LEAST]
-    repeats = max((usual - 1).sum() / max(usual.sum(), 1), 0.02) if len(usual) else 0.02
-    limit = int(np.clip(np.ceil(np.log(max(n, 10) / 0.01) / -np.log(min(repeats, 0.9))), STUCK_LEAST, STUCK_MOST))
+def run_lengths(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each reading's run of one value, and the lengths of the runs."""
+    run = np.cumsum(np.concatenate([[True], y[1:] != y[:-1]])) - 1
+    return run, np.bincount(run)
+
+
+def stuck_limit(lengths: Counter, n: int) -> int:
+    """Readings in a row that a source of `n` readings with runs of these lengths doesn't come to by its own repeats.
+
+    Each run counts once whatever its length, so the few stuck ones hardly weigh, while normal runs of any length show how
+    likely another repeat is after a run of 1, 2, 3...
+    """
+    runs, repeats = sum(lengths.values()), 0.02
+    reach, k = runs, 1
+    while reach >= max(REPEAT_RUNS, REPEAT_SHARE * runs):
+        longer = reach - lengths[k]
+        share = longer / reach
+        doubt = 2 * np.sqrt(share * (1 - share) / reach) if k > 1 else 0.0  # few runs are long
+        repeats, reach, k = max(repeats, share - doubt), longer, k + 1
+    return min(9, max(STUCK_LEAST, int(np.ceil(np.log(max(min(n, TILE_INTERVALS), 10) / 0.01) / -np.log(min(repeats, 0.99))))))
+
+
+def source_runs(readings: DataFrame) -> DataFrame:
+    """(device_key, metric, own, head_n, tail_n, stuck_at) for each tile `own`: the whole lengths, over all tiles, of the runs in
+    its first and last reading, and the source's limit.
+
+    A tile is reduced to its two outer runs and the counts of the inner ones before a source's tiles meet.
+    """
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "row_id"], kind="stable")
+        y = pdf["value"].to_numpy(float)
+        length = run_lengths(y)[1]
+        sizes, counts = np.unique(length[1:-1], return_counts=True)
+        out = pdf[["device_key", "metric", "own"]].head(1)
+        return out.assign(n=len(y), runs=len(length), first=y[0], first_n=length[0], last=y[-1], last_n=length[-1], sizes=[sizes.tolist()], counts=[counts.tolist()])
+
+    def source(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("own")
+        edges, lengths = np.zeros((len(pdf), 2), int), Counter()
+        value, total, ends = None, 0, []  # the run that is open
+
+        def close() -> None:
+            if ends:
+                lengths[total] += 1
+            for at in ends:
+                edges[at] = total
+
+        for i, t in enumerate(pdf.itertuples()):
+            if ends and t.first == value:
+                total += t.first_n
+            else:
+                close()
+                value, total, ends = t.first, t.first_n, []
+            ends.append((i, 0))
+            if t.runs > 1:
+                close()
+                lengths.update(dict(zip(t.sizes, t.counts)))
+                value, total, ends = t.last, t.last_n, []
+            ends.append((i, 1))
+        close()
+        return pdf[["device_key", "metric", "own"]].assign(head_n=edges[:, 0], tail_n=edges[:, 1], stuck_at=stuck_limit(lengths, int(pdf["n"].sum())))
+
+    key = "device_key string, metric string, own long"
+    tiles = readings.select("device_key", "metric", "own", "s", "row_id", "value").groupBy("device_key", "metric", "own")
+    tiles = tiles.applyInPandas(tile, f"{key}, n long, runs long, first double, first_n long, last double, last_n long, sizes array<long>, counts array<long>")
+    return tiles.groupBy("device_key", "metric").applyInPandas(source, f"{key}, head_n long, tail_n long, stuck_at long")
+
+
+def stuck(y: np.ndarray, own: np.ndarray, tile: int, head: np.ndarray, tail: np.ndarray, limit: int) -> np.ndarray:
+    """Runs in which the innovation between successive readings vanishes for `limit` readings or longer, over all tiles.
+
+    y: the readings of `tile` and its halos, own: their tiles, head and tail: the whole lengths of the runs at the tiles' ends.
+    """
+    run, length = run_lengths(y)
+    starts, ends = np.concatenate([[own[0] == tile], own[1:] != own[:-1]]), np.concatenate([own[1:] != own[:-1], [own[-1] == tile]])
+    np.maximum.at(length, run[starts], head[starts])
+    np.maximum.at(length, run[ends], tail[ends])
     return (length >= limit)[run]
 
 
@@ -99,7 +170,7 @@ def flag_readings(samples: DataFrame) -> DataFrame:
 
     Order is by start_ts, then row_id. Rows with a null or NaN value, device, metric or time, and other metrics, are left
     out. Give it rows without redelivered copies. The series are cut into tiles of TILE_INTERVALS of the source's own mean
-    interval, each with a halo on both sides in which the filter settles and runs are counted, so the hottest source is as
+    interval, each with a halo on both sides in which the filter settles; runs are counted across tiles before. So the hottest source is as
     many small groups as it has tiles and every group fits in memory.
     """
     seconds = F.unix_micros(F.col("start_ts").cast("timestamp")) / F.lit(1e6)
@@ -109,14 +180,17 @@ def flag_readings(samples: DataFrame) -> DataFrame:
     length, halo = F.col("interval") * TILE_INTERVALS, F.col("interval") * HALO_INTERVALS
     tiled = rows.join(profile, ["device_key", "metric"])
     tile = lambda shift: F.floor((F.col("s") + shift) / length)
-    tiled = tiled.withColumn("own", tile(F.lit(0))).withColumn("tile", F.explode(F.array_distinct(F.array(tile(F.lit(0)), tile(halo), tile(-halo)))))
+    tiled = tiled.withColumn("own", tile(F.lit(0)))
+    tiled = tiled.join(source_runs(tiled), ["device_key", "metric", "own"])
+    tiled = tiled.withColumn("tile", F.explode(F.array_distinct(F.array(tile(F.lit(0)), tile(halo), tile(-halo)))))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["s", "row_id"], kind="stable")
         y, s = pdf["value"].to_numpy(float), pdf["s"].to_numpy(float)
         low, high = POSSIBLE[pdf["metric"].iloc[0]]
         possible = (y >= low) & (y <= high)
-        still = stuck(y)
+        ends = [pdf[c].to_numpy() for c in ("head_n", "tail_n")]
+        still = stuck(y, pdf["own"].to_numpy(), pdf["tile"].iloc[0], *ends, pdf["stuck_at"].iloc[0])
         spike = np.zeros(len(y), bool)
         free = ~still  # a stuck stretch doesn't move the level
         spike[free] = kalman(s[free], y[free], possible[free], float(pdf["mid"].iloc[0]), float(pdf["spread"].iloc[0]), float(pdf["interval"].iloc[0]))
