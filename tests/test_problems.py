@@ -308,3 +308,13 @@ def test_stuck_across_tiles_of_uneven_density(spark):
         sparse[d][1] = 70.5
     got = flags(spark, dense + sparse)
     assert {i for i, r in got.items() if r.stuck} == {20000 + d for d in range(at - 4, at + 4)}
+
+
+@pytest.mark.parametrize("p,limit", [(0.02, 7), (0.1, 7), (0.4, 15), (0.5, 19)])
+def test_stuck_limit_follows_the_source(p, limit):
+    from collections import Counter
+
+    normal = Counter({k: round(3000 * (1 - p) * p ** (k - 1)) for k in range(1, 15)})
+    got = anomalies.stuck_limit(normal + Counter({40: 4}), 4096)
+    assert limit <= got <= limit + 1
+    assert anomalies.stuck_limit(Counter({1: 500, 9: 400, 40: 2}), 4096) > 9  # runs of nine are this source's normal

@@ -103,7 +103,7 @@ def stuck_limit(lengths: Counter, n: int) -> int:
         share = longer / reach
         doubt = 2 * np.sqrt(share * (1 - share) / reach) if k > 1 else 0.0  # few runs are long
         repeats, reach, k = max(repeats, share - doubt), longer, k + 1
-    return min(9, max(STUCK_LEAST, int(np.ceil(np.log(max(min(n, TILE_INTERVALS), 10) / 0.01) / -np.log(min(repeats, 0.99))))))
+    return max(STUCK_LEAST, int(np.ceil(np.log(max(min(n, TILE_INTERVALS), 10) / 0.01) / -np.log(min(repeats, 0.99)))))
 
 
 def source_runs(readings: DataFrame) -> DataFrame:
