@@ -118,7 +118,7 @@ def test_batch_files_streamed_with_repeats(spark, tmp_path):
     stream = readers.stream_batches(spark, str(landing), 1)
     rows = ingest.normalize(ingest.explode_batches(stream), policy).withColumn("row_id", F.xxhash64("hk_uuid", "batch_id"))
     once = rows.dropDuplicates(["row_id"])
-    pipeline.run_available(once.writeStream.foreachBatch(pipeline.store_sink(spark, f"{base}/seen", f"{base}/raw")), f"{base}/cp")
+    pipeline.run_available(once.writeStream.foreachBatch(pipeline.store_sink(f"{base}/seen", f"{base}/raw")), f"{base}/cp")
     assert sorted(r.value for r in spark.read.parquet(f"{base}/raw").collect()) == [60.0, 61.0, 62.0]
 
 

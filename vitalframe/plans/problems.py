@@ -11,24 +11,38 @@ from vitalframe.session import cut, scratch, table
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
+#: Parts, in order of arrival, in which a whole log is admitted to a store.
+ARRIVAL_SLICES = 2
+
+
+def surplus_of(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
+    """(origin, no) of the surplus copies of whole logs."""
+    store = delivery.DeliveryStore(spark, scratch(spark, "deliveries"))
+    return store.admit(arrivals, "no", "keys", "origin", slices=ARRIVAL_SLICES)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals = delivery.sample_keys(table(spark, sf_dir, "samples")).unionByName(delivery.batch_keys(table(spark, sf_dir, "batches")))
-    store = delivery.DeliveryStore(spark, scratch(spark, "deliveries"))
-    return store.admit(arrivals, "no", "keys", "origin").select("origin", F.col("no").alias("row_no"))
+    return surplus_of(spark, arrivals).select("origin", F.col("no").alias("row_no"))
 
 
 def kept_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """samples without the surplus copies of problem 1."""
     samples = table(spark, sf_dir, "samples")
-    store = delivery.DeliveryStore(spark, scratch(spark, "deliveries"))
-    surplus = store.admit(delivery.sample_keys(samples), "no", "keys", "origin").select(F.col("no").alias("row_id"))
-    return samples.join(surplus, "row_id", "left_anti")
+    return samples.join(surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id")), "row_id", "left_anti")
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_samples(spark, sf_dir).select("row_id", "sample_id", "hk_uuid", "metric", "device_key")
 
 
+def p1_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batches without the surplus deliveries."""
+    batches = table(spark, sf_dir, "batches")
+    surplus = surplus_of(spark, delivery.batch_keys(batches)).select(F.col("no").alias("delivery_no"))
+    return batches.join(surplus, "delivery_no", "left_anti").select("delivery_no", "batch_id", "device", F.coalesce(F.size("samples"), F.lit(0)).alias("n_samples"))
+
+
 def heart_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "samples").filter("metric = 'heart_rate'")
     return grid.regular_grid(rows, "device_key", "start_ts", "value")
@@ -83,8 +97,7 @@ def p4_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the surplus test reads all rows; the readings are cut down before they meet it
     samples = table(spark, sf_dir, "samples")
-    store = delivery.DeliveryStore(spark, scratch(spark, "deliveries"))
-    surplus = store.admit(delivery.sample_keys(samples), "no", "keys", "origin").select(F.col("no").alias("row_id"))
+    surplus = surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id"))
     readings = samples.filter(F.col("metric").isin(*anomalies.POSSIBLE) & F.col("value").isNotNull()).select("row_id", "device_key", "metric", "start_ts", "value")
     return anomalies.flag_readings(cut(readings.join(surplus, "row_id", "left_anti")))
 
@@ -112,4 +125,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("entity").alias("device_key"), "kind", F.date_format("from_ts", STAMP).alias("from_ts"), F.date_format("to_ts", STAMP).alias("to_ts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_grid, p3_found, p3_totals, p4_found, p4_common, p5_found, p5_flags, p6_found, p6_state, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_deliveries, p2_found, p2_grid, p3_found, p3_totals, p4_found, p4_common, p5_found, p5_flags, p6_found, p6_state, p7_found)}

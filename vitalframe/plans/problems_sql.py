@@ -54,6 +54,9 @@ SQL = {
         d as (select delivery_no, min(delivery_no) over (partition by batch_id) as f from batches where trim(batch_id) <> '')
         select 'samples' as origin, row_id as row_no from surplus union all select 'batches', delivery_no from d where f < delivery_no""",
     "p1_kept": f"with {_SURPLUS} select row_id, sample_id, hk_uuid, metric, device_key from samples where row_id not in (select row_id from surplus)",
+    "p1_deliveries": """
+        with d as (select *, min(delivery_no) over (partition by batch_id) as f from batches)
+        select delivery_no, batch_id, device, cast(coalesce(len(samples), 0) as integer) as n_samples from d where batch_id is null or trim(batch_id) = '' or f = delivery_no""",
     "p2_found": f"with {_GRID} select device_key, strftime(make_timestamp(slot * 3600000000), '%Y-%m-%d %H:%M:%S') as slot_start from missing",
     "p2_grid": f"""
         with {_GRID},

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vitalframe.functions import columns as C
 from vitalframe.operators import baselines, daily, ingest, intervals, reports, signals, text
 from vitalframe.plans import series as S
+from vitalframe.plans.problems_sql import _SURPLUS
 from vitalframe.plans.series import ANCHOR, BY, query
 from vitalframe.session import scratch, table
 from vitalframe.streaming import pipeline
@@ -265,13 +266,15 @@ def landed(spark: SparkSession, sf_dir: str, columns: list[str], where: str = "t
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("""with r as (select row_id, sample_id, metric, row_number() over (partition by sample_id order by row_id) as k from samples) select metric, count(*) as rows from r where sample_id is null or k = 1 group by 1""")
+@query(f"with {_SURPLUS} select metric, count(*) as rows from samples where row_id not in (select row_id from surplus) group by 1")
 def o157_stream_dedupe(spark, sf_dir):
     """O-12, O-155, O-157: four micro-batches into the store, each message once whatever batch its copies come in."""
-    base = scratch(spark, "stream")
-    stream = landed(spark, sf_dir, ["sample_id", "metric", "start_ts"])
-    pipeline.run_available(stream.writeStream.foreachBatch(pipeline.store_sink(spark, f"{base}/seen", f"{base}/raw")), f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/raw").groupBy("metric").agg(F.count(F.lit(1)).alias("rows"))
+    landing, base = scratch(spark, "landing"), scratch(spark, "stream")
+    rows = table(spark, sf_dir, "samples").select("row_id", "sample_id", "hk_uuid", "metric", "start_ts")
+    for _ in land_in_order(spark, rows, landing):
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        pipeline.run_available(stream.writeStream.foreachBatch(pipeline.store_sink(f"{base}/seen", f"{base}/raw")), f"{base}/checkpoint")
+    return spark.read.schema(rows.schema).parquet(f"{base}/raw").groupBy("metric").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("select metric, cast(start_ts as date) as date, cast(sum(cast(value as decimal(24,4))) as double) as total, count(value) as n from samples where value is not null group by 1, 2", text="date")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from vitalframe.operators.delivery import DeliveryStore, content_key
+from vitalframe.operators.delivery import DeliveryStore, sample_keys
 from vitalframe.sources.readers import write_days
 
 
@@ -34,20 +34,19 @@ def day_windows(rows: DataFrame, by: list[str], ts: str, value: str, late: str =
     return out.select(*by, F.to_date("w.start").alias("date"), "total", "n")
 
 
-def store_sink(spark: SparkSession, store: str, raw: str, key: str = "sample_id", no: str = "row_id"):
-    """A foreachBatch function: admits each message once, over all batches ever, and writes it to <raw>/batch=<id>.
+def store_sink(store: str, raw: str, arrivals=sample_keys, no: str = "row_id"):
+    """A foreachBatch function: admits each message once, over all batches ever, and writes it to <raw>/batch=<query>-<id>.
 
-    Batch n builds on version n of the store, so a batch replayed after a failure, before or after its commit, writes the
-    same rows to the same folder again.
+    arrivals: how rows become arrivals (see delivery.sample_keys). A batch is named by its streaming query, whose id lives in
+    the checkpoint folder, and its number: one replayed after a failure, before or after its commit, gets the stored answer and
+    writes the same rows to the same folder again; a stream with a new checkpoint folder goes on in the store.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        seen = DeliveryStore(batch.sparkSession, store)
-        arrivals = batch.select(F.col(no).alias("no"), F.array(content_key("s", F.col(key))).alias("keys"))
-        surplus = seen.admit(arrivals, "no", "keys", at=batch_id).select(F.col("no").alias(no))
-        batch.join(surplus, no, "left_anti").write.mode("overwrite").parquet(f"{raw}/batch={batch_id}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
+        surplus = DeliveryStore(spark, store).admit(arrivals(batch), "no", "keys", "origin", batch=name).select(F.col("no").alias(no))
+        batch.join(surplus, no, "left_anti").write.mode("overwrite").parquet(f"{raw}/batch={name}")
 
     return write
 
