@@ -294,20 +294,38 @@ def test_sleep_stages(spark):
 
 
 def test_stuck_across_tiles_of_uneven_density(spark):
-    """Dense readings, then one a day: a stuck stretch of eight days lies across a tile edge, whose halo has next to none of it."""
-    dense = [[i * 60, 60.0 + i * 37 % 23] for i in range(20000)]
-    days = 100
-    sparse = [[1_200_000 + d * 86400, 60.0 + d * 37 % 23] for d in range(days)]
-    length = (sparse[-1][0] - dense[0][0]) / 20100 * anomalies.TILE_INTERVALS
-    first = dt.datetime(2015, 1, 5, tzinfo=dt.timezone.utc).timestamp()
-    edge = (first // length + 1) * length - first
-    while edge < sparse[5][0]:
-        edge += length
-    at = min(range(5, days - 5), key=lambda d: abs(sparse[d][0] - edge))
-    for d in range(at - 4, at + 4):
+    """Dense readings, then one a day: a stuck stretch of eight days lies across a tile edge."""
+    dense = [[i * 60, 60.0 + i * 37 % 23] for i in range(5 * anomalies.TILE_ROWS - 50)]
+    sparse = [[1_300_000 + d * 86400, 60.0 + d * 37 % 23] for d in range(100)]
+    for d in range(46, 54):
         sparse[d][1] = 70.5
     got = flags(spark, dense + sparse)
-    assert {i for i, r in got.items() if r.stuck} == {20000 + d for d in range(at - 4, at + 4)}
+    assert {i for i, r in got.items() if r.stuck} == {len(dense) + d for d in range(46, 54)}
+
+
+def test_flags_do_not_depend_on_the_tiles(spark):
+    rng = random.Random(7)
+    pts = series(rng, 3000, 200)
+    for i in rng.sample(range(3000), 40):
+        pts[i][1] += rng.choice([-35, 60])
+    for i in (395, 1999):
+        for k in range(14):
+            pts[i + k][1] = 63.1
+    pts.append([pts[-1][0] + 10**9, 60.0])  # one stray time
+    rows = [(i, "d", "heart_rate", T0 + dt.timedelta(seconds=s), v) for i, (s, v) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "row_id long, device_key string, metric string, start_ts timestamp_ntz, value double")
+    got = [{r.row_id: (r.impossible, r.spike, r.stuck) for r in anomalies.flag_readings(df, n).collect()} for n in (400, 10_000)]
+    assert got[0] == got[1] and len(got[0]) == len(pts)
+    assert {i for i, r in got[0].items() if r[2]} >= {395 + k for k in range(14)} | {1999 + k for k in range(14)}
+
+
+def test_a_source_with_long_normal_runs_is_not_stuck(spark):
+    """Each value twelve times, as is this source's habit, and one stretch of ninety."""
+    pts = [[i * 300, 60.0 + (i // 12 * 7) % 19] for i in range(4800)]
+    for k in range(90):
+        pts[2400 + k][1] = 71.7
+    bad = {i for i, r in flags(spark, pts).items() if r.stuck or r.spike or r.impossible}
+    assert bad == {2400 + k for k in range(90)}
 
 
 @pytest.mark.parametrize("p,limit", [(0.02, 7), (0.1, 7), (0.4, 15), (0.5, 19)])

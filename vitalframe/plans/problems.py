@@ -99,7 +99,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "samples")
     surplus = surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id"))
     readings = samples.filter(F.col("metric").isin(*anomalies.POSSIBLE) & F.col("value").isNotNull()).select("row_id", "device_key", "metric", "start_ts", "value")
-    return anomalies.flag_readings(cut(readings.join(surplus, "row_id", "left_anti")))
+    return anomalies.flag_readings(readings.join(surplus, "row_id", "left_anti"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
