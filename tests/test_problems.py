@@ -73,7 +73,7 @@ def test_trailing_against_brute_force(spark):
     current = trailing.current_versions(df)
     held = {(r.device_key, r.date): r.value for r in current.collect()}
     asked = spark.createDataFrame([(f"d{i % 4}", "steps", day(i), w, "x") for i in range(0, 420, 13) for w in (1, 7, 30, 90)], "device_key string, metric string, date date, window_days int, bucket string")
-    got = trailing.trailing_totals(current, asked, 90, tile_days=100).collect()
+    got = trailing.trailing_totals(current, asked, tile_days=100, band_days=45).collect()
     assert len(got) == asked.count()
     for r in got:
         values = [held.get((r.device_key, r.date - dt.timedelta(days=k))) for k in range(1, r.window_days + 1)]
@@ -84,9 +84,18 @@ def test_trailing_against_brute_force(spark):
 def test_trailing_edges(spark):
     empty = spark.createDataFrame([], DAILY)
     asked = spark.createDataFrame([("d", "m", dt.date(2015, 1, 9), 7), (None, "m", dt.date(2015, 1, 9), 7), ("d", "m", None, 7), ("d", "m", dt.date(2015, 1, 9), 0)], "device_key string, metric string, date date, window_days int")
-    got = trailing.trailing_totals(trailing.current_versions(empty), asked, 7).collect()
+    got = trailing.trailing_totals(trailing.current_versions(empty), asked).collect()
     assert [(r.r_total, r.r_mean, r.r_days) for r in got] == [(0.0, 0.0, 0)]
-    assert trailing.trailing_totals(trailing.current_versions(empty), asked.limit(0), 7).count() == 0
+    assert trailing.trailing_totals(trailing.current_versions(empty), asked.limit(0)).count() == 0
+
+
+def test_trailing_of_a_huge_window_and_many_entities(spark):
+    """One dirty row asks for 100,000 days; 3,000 entities fall into one block."""
+    n = 3000
+    daily = spark.range(n * 3).selectExpr("concat('d', id % 3000) as device_key", "'m' as metric", "date_add(date'2015-01-01', cast(id div 3000 as int) * 400) as date", "cast(id as double) as value")
+    asked = spark.range(n).selectExpr("concat('d', id) as device_key", "'m' as metric", "date'2017-06-01' as date", "if(id = 7, 100000, if(id % 2 = 0, 10, 800)) as window_days", "id as x")
+    got = {r.x: (r.r_total, r.r_days) for r in trailing.trailing_totals(daily, asked).collect()}
+    assert len(got) == n and got[7] == (7.0 + 3007 + 6007, 3) and got[8] == (0.0, 0) and got[9] == (3009.0 + 6009, 2)
 
 
 def test_current_version(spark):

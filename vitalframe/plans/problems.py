@@ -62,8 +62,7 @@ def p2_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = trailing.current_versions(table(spark, sf_dir, "daily_values"))
     stored = table(spark, sf_dir, "baselines").select("device_key", "metric", "date", "window_days", "total_value", "mean_value", "n_days")
-    widest = stored.agg(F.max("window_days")).first()[0] or 1
-    return trailing.trailing_totals(daily, stored, widest)
+    return trailing.trailing_totals(daily, stored)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +73,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = trailing.current_versions(table(spark, sf_dir, "daily_values"))
-    out = trailing.trailing_totals(daily, trailing.every_day(daily, [7, 30]), 30)
+    out = trailing.trailing_totals(daily, trailing.every_day(daily, [7, 30]))
     return out.select("device_key", "metric", F.date_format("date", "yyyy-MM-dd").alias("date"), "window_days", F.round("r_total", 4).alias("total_value"), F.round("r_mean", 4).alias("mean_value"), F.col("r_days").alias("n_days"))
 
 
