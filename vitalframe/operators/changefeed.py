@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalframe.operators.delivery import canonical_uuid, hyphenated
-from vitalframe.session import partitions
 
 FIELDS = ["hk_type", "metric", "value", "text_value", "unit", "start_ts", "end_ts", "source_name"]
 
 
-def changes(batches: DataFrame, partial: bool = False) -> DataFrame:
+def changes(batches: DataFrame) -> DataFrame:
     """Explodes batches into (key, at, op, batch_id, place, fields...), one row per change of a uuid.
 
     at: microseconds of the instant in sent_at, received_at (as UTC) where that can't be read, before all others where
@@ -31,80 +32,80 @@ def changes(batches: DataFrame, partial: bool = False) -> DataFrame:
     return up.unionByName(down).withColumn("key", canonical_uuid(F.col("raw"))).filter("key is not null").drop("raw")
 
 
-def replay(feed: DataFrame, fields: list[str], rounds: int = 2) -> DataFrame:
-    """(key, alive, at, batch_id, fields...): the state of each key after its changes in order of (at, batch_id, op, place).
+#: A change's place in the order of a key: instant, batch, operation (deletions follow samples), position in the batch's list.
+SEQUENCE = ["at", "batch_id", "op", "place"]
+
+
+def _states(rows: pa.Table, fields: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Runs the state machine of all keys of `rows`, sorted by key and SEQUENCE, at once.
+
+    Returns the starts of the keys and, for each, the row of its last delete (`dead`), its last upsert after that (`up`) and the
+    last upsert after that which sets each field; -1 for none. Of a change repeated with the same sequence the first is
+    applied, the others are skipped.
+    """
+    n = rows.num_rows
+    same = lambda c: pc.fill_null(pc.equal(rows[c].slice(1), rows[c].slice(0, n - 1)), False).to_numpy().astype(bool) | pc.and_(pc.is_null(rows[c].slice(1)), pc.is_null(rows[c].slice(0, n - 1))).to_numpy().astype(bool)
+    new = np.concatenate([[True], ~same("key")])
+    again = ~new
+    for c in SEQUENCE:
+        again[1:] &= same(c)
+    starts = np.flatnonzero(new)
+    at, delete = np.arange(n), rows["op"].to_numpy() == 1
+    latest = lambda ok: np.maximum.reduceat(np.where(ok & ~again, at, -1), starts)
+    dead = latest(delete)
+    live = ~delete & (at > dead[np.cumsum(new) - 1])
+    out = {"dead": dead, "up": latest(live)}
+    for f in fields:
+        out[f] = latest(live & rows[f].is_valid().to_numpy().astype(bool))
+    return starts, out
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], fields: list[str], finish) -> Iterator[pa.RecordBatch]:
+    """Walks sorted rows; of the key that may go on in the next batch only the rows that still matter are carried over."""
+    carried = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([carried, rows]).combine_chunks() if carried is not None else rows
+        starts, found = _states(rows, fields)
+        open_from = starts[-1]
+        keep = np.unique(np.concatenate([x[-1:] for x in found.values()]))
+        carried = rows.take(pa.array(keep[keep >= open_from]))
+        if open_from:
+            yield from finish(rows.slice(0, open_from), starts[:-1], {k: x[:-1] for k, x in found.items()}).to_batches()
+    if carried is not None and carried.num_rows:
+        yield from finish(carried.combine_chunks(), *_states(carried, fields)).to_batches()
+
+
+def replay(feed: DataFrame, fields: list[str]) -> DataFrame:
+    """(key, alive, at, batch_id, fields...): the state of each key after its changes in order of SEQUENCE.
 
     A state machine walks each partition's rows sorted by key and sequence: an upsert revives a key and sets the columns it
-    carries (null leaves a column as it is: a partial update), a delete clears it; a sequence at or below the last applied
-    one (a redelivery) is skipped. batch_id is that of the last upsert. It carries one key's state only, so memory is
-    constant, whatever a key's share of the rows.
+    carries (null leaves a column as it is: a partial update), a delete clears it; a sequence that was applied already (a
+    redelivery) is skipped. batch_id and at are those of the last upsert, or of the delete. It runs on whole Arrow batches, all
+    keys at once, and carries the state of one key from batch to batch.
 
-    Replay is done in two rounds: keys are salted by batch first, and each salted part is reduced to the sequence of its
-    last delete and, per column, the value and sequence of the last set. Such parts compose, whatever their order, so a
-    hot key is spread over tasks and the second round gets at most `partitions` rows of it.
+    Replay is done in two rounds. The first runs before the shuffle, on the partitions as they are read: it drops the changes
+    that later ones of the same partition override, which leaves of each key at most one row a column, so a hot key is spread over all
+    tasks and the second round gets few rows of it. The second repartitions by key and replays what is left.
     """
-    spark = feed.sparkSession
-    n = partitions(spark, 8)
-    names = ["batch_id", *fields]
-    # the sequence as text that sorts as (at, batch_id, op, place) does
-    order = F.concat(F.lpad((F.col("at") + F.lit(1 << 62)).cast("string"), 20, "0"), F.lit("|"), F.coalesce("batch_id", F.lit("")), F.lit("|"), F.col("op").cast("string"), F.lpad(F.coalesce("place", F.lit(0)).cast("string"), 9, "0"))
-    schema = "key string, seq string, dead string, up string, sets map<string,struct<seq:string,val:string>>"
-    rows = feed.select("key", order.alias("seq"), "op", *names)
-    rows = rows.repartition(n, "key", F.pmod(F.xxhash64("batch_id"), F.lit(n))).sortWithinPartitions("key", "seq")
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last, dead, up, sets = None, "", None, None, {}
-        for part in batches:
-            out = []
-            for row in part.itertuples(index=False):
-                k, seq, op = row[0], row[1], row[2]
-                if k != key:
-                    if key is not None:
-                        out.append((key, last, dead, up, sets))
-                    key, last, dead, up, sets = k, "", None, None, {}
-                if seq <= last:
-                    continue  # applied already
-                last = seq
-                if op:
-                    dead, up, sets = seq, None, {}
-                else:
-                    up = seq
-                    for name, val in zip(names, row[3:]):
-                        if val is not None and val == val:
-                            sets[name] = {"seq": seq, "val": val}
-            yield pd.DataFrame(out, columns=["key", "seq", "dead", "up", "sets"])
-        if key is not None:
-            yield pd.DataFrame([(key, last, dead, up, sets)], columns=["key", "seq", "dead", "up", "sets"])
-
-    parts = rows.mapInPandas(first, schema).repartition(n, "key").sortWithinPartitions("key", "seq")
-    result = "key string, alive boolean, seq string, " + ", ".join(f"`{x}` string" for x in names)
-
-    def finish(key, dead, up, sets):
-        alive = up is not None and (dead is None or up > dead)
-        get = lambda x: (sets.get(x) or {}).get("val") if alive and (sets.get(x) and (dead is None or sets[x]["seq"] > dead)) else None
-        return (key, alive, up if alive else dead, *[get(x) for x in names])
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, dead, up, sets = None, None, None, {}
-        columns = ["key", "alive", "seq", *names]
-        for part in batches:
-            out = []
-            for k, _, d, u, s in part.itertuples(index=False):
-                if k != key:
-                    if key is not None:
-                        out.append(finish(key, dead, up, sets))
-                    key, dead, up, sets = k, None, None, {}
-                dead = d if dead is None or (d is not None and d > dead) else dead
-                up = u if up is None or (u is not None and u > up) else up
-                for name, x in dict(s or {}).items():
-                    x = x if isinstance(x, dict) else x.asDict()
-                    if name not in sets or x["seq"] > sets[name]["seq"]:
-                        sets[name] = x
-            yield pd.DataFrame(out, columns=columns)
-        if key is not None:
-            yield pd.DataFrame([finish(key, dead, up, sets)], columns=columns)
-
-    return parts.mapInPandas(second, result)
+    rows = feed.select("key", *SEQUENCE, *fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def standing(rows: pa.Table, starts: np.ndarray, found: dict[str, np.ndarray]) -> pa.Table:
+        keep = np.unique(np.concatenate(list(found.values())))
+        return rows.take(pa.array(keep[keep >= 0]))
+
+    def states(rows: pa.Table, starts: np.ndarray, found: dict[str, np.ndarray]) -> pa.Table:
+        pick = lambda name, at: rows[name].take(pa.array(at, mask=at < 0))
+        alive = found["up"] >= 0
+        last = np.where(alive, found["up"], found["dead"])
+        return pa.table({"key": rows["key"].take(pa.array(starts)), "alive": pa.array(alive), "at": pick("at", last), "batch_id": pick("batch_id", last), **{f: pick(f, found[f]) for f in fields}})
+
+    first = rows.sortWithinPartitions("key", *SEQUENCE).mapInArrow(lambda it: _by_key(it, fields, standing), kinds)
+    result = "key string, alive boolean, at long, batch_id string, " + ", ".join(f"`{f}` {rows.schema[f].dataType.simpleString()}" for f in fields)
+    return first.repartition("key").sortWithinPartitions("key", *SEQUENCE).mapInArrow(lambda it: _by_key(it, fields, states), result)
 
 
 def current_state(batches: DataFrame) -> DataFrame:
