@@ -1,7 +1,7 @@
 """Byte-level BPE of a whole corpus in Spark's own expressions.
 
 Texts are cut into words by the tokenizer's pattern; each distinct word is encoded once by folding ranked merges over the
-array of its bytes with a literal rank map; the ids come back to the documents by an equi-join on the word.
+array of its bytes with a literal rank map; the texts get the ids of their words from that dictionary, broadcast or joined.
 """
 
 from __future__ import annotations
@@ -9,9 +9,13 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,22 +144,49 @@ def dictionary(texts: DataFrame, text: str, path: str) -> DataFrame:
     return cut(words.filter(short).withColumn("ids", word_ids(F.col("word"), path)).unionByName(words.filter(~short).withColumn("ids", long_ids("word"))))
 
 
-def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """(key, ids): the token ids of each text without special tokens, an empty list for empty and for null text.
+def _look_up(known: DataFrame, rows: DataFrame, kind: str, carry: list[str]) -> DataFrame:
+    """rows (key, carry..., words) with the ids of their words, looked up in the broadcast dictionary by Arrow, whole batches at a time."""
+    shared = rows.sparkSession.sparkContext.broadcast(known.select("word", "ids").toArrow())  # at most BROADCAST_BYTES, checked by the caller
 
-    Strings of special tokens in a text are ordinary text. A key with several different texts (null keys too) gives a row
-    for each; rows that repeat key and text give one. Other columns are ignored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids = (shared.value[c].combine_chunks() for c in ("word", "ids"))
+        for batch in batches:
+            mine = batch["words"]
+            offsets = mine.offsets.to_numpy()
+            found = ids.take(pc.index_in(mine.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(words.type), value_set=words))
+            if found.null_count:
+                raise ValueError("a word isn't in the dictionary: the texts changed between two reads")
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))])
+            packed = pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), found.flatten())
+            yield pa.RecordBatch.from_arrays([batch["key"], *[batch[c] for c in carry], packed], names=["key", *carry, "ids"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"key {kind}, {kinds + ', ' if kinds else ''}ids array<int>")
+
+
+def encode(texts: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry..., ids): the token ids of each text without special tokens, an empty list for empty and for null text.
+
+    Strings of special tokens in a text are ordinary text. Every row of the input gives a row, whatever its key, so repeated
+    rows repeat their ids. Of the other columns those named in `carry` are kept.
+
+    Where the dictionary of distinct words is small enough (measured), it is broadcast and the texts aren't shuffled at all;
+    beyond, words are joined by a shuffle. The ids are the same.
     """
     path = path or vocabulary_path()
     known = dictionary(texts, text, path)
     small = (known.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 60)).first()[0] or 0) <= BROADCAST_BYTES
-    rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h"), F.octet_length(text).alias("n"))
-    rows = rows.groupBy("key", "h", "n").agg(F.first("text").alias("text"))
-    tokens = rows.select("key", "h", "n", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    joined = tokens.join(F.broadcast(known) if small else known, "word", "left")
-    packed = joined.groupBy("key", "h", "n").agg(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.transform(F.array_sort("parts"), lambda x: x["ids"]))
-    return packed.select(F.col("key").alias(key), ids.alias("ids"))
+    held = [f"_carry{i}" for i in range(len(carry))]
+    rows = texts.select(F.col(key).alias("key"), *[F.col(c).alias(h) for c, h in zip(carry, held)], words_of(F.col(text)).alias("words"))
+    if small:
+        out = _look_up(known, rows, texts.schema[key].dataType.simpleString(), held)
+    else:
+        # a row's number: the same in each run over the same files
+        tokens = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "key", *held, F.posexplode_outer("words").alias("pos", "word"))
+        parts = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids"))).alias("parts")
+        packed = tokens.join(known, "word", "left").groupBy("_row", "key", *held).agg(parts)
+        out = packed.select("key", *held, F.flatten(F.transform(F.array_sort("parts"), lambda x: x["ids"])).alias("ids"))
+    return out.select(F.col("key").alias(key), *[F.col(h).alias(c) for c, h in zip(carry, held)], "ids")
 
 
 def decode_ids(ids: Column, path: str) -> Column:
