@@ -49,6 +49,14 @@ def test_larger_total_keeps_the_cap(spark):
     assert {n for (s, _), n in used.items() if s == "notes"} == {2} and {n for (s, _), n in used.items() if s == "chat"} == {1}
 
 
+def test_null_limit_and_zero(spark):
+    targets = spark.createDataFrame([("chat", 0.5, 1), ("notes", 0.4, None), ("support_note", 0.1, 0)], TARGETS)
+    mixed = mixing.mix(corpus(spark), targets, "doc_id", "source", "n_tokens")
+    got = {r.source: r for r in mixing.shares(mixed, targets, "doc_id", "n_tokens", corpus(spark)).collect()}
+    assert abs(got["notes"].actual_share - 0.4 / 0.9) < 0.005 and got["support_note"].copies == 0
+    assert got["notes"].expected_error > 0 and got["support_note"].expected_error is None
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("chat", 1.0, 1), (None, 0.5, 1)], TARGETS)
     none = corpus(spark).limit(0)

@@ -19,19 +19,19 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").alias("n_tokens"), tokenizer.decode_ids(F.col("ids"), tokenizer.vocabulary_path()).alias("text"))
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    sizes = tokenizer.encode(documents).select("doc_id", F.size("ids").alias("n_tokens"))
-    sized = cut(documents.select("doc_id", "source").join(sizes, "doc_id"))
-    return mixing.mix(sized, table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens), encoded once."""
+    ids = tokenizer.encode(table(spark, sf_dir, "documents"), carry=("source",))
+    return cut(ids.select("doc_id", "source", F.size("ids").alias("n_tokens")))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mix(spark, sf_dir)
+    return mixing.mix(sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(cut(_mix(spark, sf_dir)), table(spark, sf_dir, "mix_targets"), "doc_id", "n_tokens")
+    sized, targets = sized_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.shares(mixing.mix(sized, targets, "doc_id", "source", "n_tokens"), targets, "doc_id", "n_tokens", sized)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
