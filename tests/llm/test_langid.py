@@ -33,6 +33,23 @@ def test_single_and_mixed(model):
     assert langs("Поговорите с врачом. " + BASE["en"][1], model) == [(1, "ru"), (2, "en")]
 
 
+@pytest.mark.parametrize(
+    "text,lang",
+    [
+        ("Η καρδιακή συχνότητα ήταν χαμηλή σήμερα.", "el"), ("كان معدل ضربات القلب منخفضا اليوم.", "und"), ("Частота серцевих скорочень сьогодні була низькою, її показники в нормі.", "uk"),
+        ("今天心率较低，睡眠质量很好，请继续保持健康的生活方式。", "und"), ("오늘 심박수가 낮았고 수면이 좋았습니다.", "ko"), ("Поговорите с врачом", "ru"), ("今日は心拍数が低いです。", "ja"), ("ꀀꀁꀂ", "und"),
+    ],
+)
+def test_languages_the_model_does_not_know(model, text, lang):
+    assert langs(text, model) == [(1, lang)]
+    assert langs(BASE["en"][0] + " " + BASE["en"][1] + "\n" + text * 3, model) == [(1, "en"), (2, lang)]
+
+
+def test_sentence_ends():
+    cut = langid.split_sentences
+    assert [x.strip() for x in cut('One. Two! "Three?" Four… Five。六！七\neight / nine - 3.5 a/b')] == ["One.", "Two!", '"Three?"', "Four…", "Five。", "六！", "七", "eight /", "nine - 3.5 a/b"]
+
+
 def test_quotes_codes_and_figures_make_no_segment(model):
     assert langs(BASE["en"][0] + " (“dolce far niente”)", model) == [(1, "en")]
     assert langs(BASE["de"][0] + '\nLDL 36 mg/dL < 116\n{"metric":"spo2","value":80}', model) == [(1, "de")]
