@@ -196,7 +196,7 @@ def test_spearman_and_mann_whitney(spark):
 
 def test_false_discovery(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.001, 0.01, 0.2, 0.5, 0.9])], "id int, p double")
-    q = [round(r.q, 4) for r in insights.benjamini_hochberg(df, "p", ["id"]).orderBy("id").collect()]
+    q = [round(r.q, 4) for r in insights.benjamini_hochberg(df, "p", ["id"], []).orderBy("id").collect()]
     assert q == [0.005, 0.025, 0.3333, 0.625, 0.9]
 
 
@@ -217,6 +217,41 @@ def test_theil_sen(spark):
     assert insights.theil_sen(days(spark, {0: 1.0, 7: 15.0}), ["metric"]).first().slope_per_week == 14.0
 
 
+def test_slopes_beyond_what_is_sorted_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, at_once in ((40, 100), (61, 50), (200, 1000)):
+        d, v = rng.integers(0, 50, n).astype(float), rng.normal(size=n).round(1)
+        direct = [(v[j] - v[i]) / (d[j] - d[i]) for i in range(n) for j in range(n) if d[j] > d[i]]
+        got, pairs = insights.median_slope(d, v, at_once)
+        assert pairs == len(direct) and abs(got - np.median(direct)) < 1e-12
+    assert insights.median_slope(np.array([1.0, 1.0]), np.array([1.0, 2.0])) == (0.0, 0)
+    assert insights.median_slope(np.arange(60.0), np.arange(60.0) * 2, 50)[0] == 2.0
+
+
+def test_pools_are_corrected_apart(spark):
+    df = spark.createDataFrame([("a", i, p) for i, p in enumerate((0.01, 0.02))] + [("b", 0, 0.03)], "s string, id int, p double")
+    got = {(r.s, r.id): round(r.q, 6) for r in insights.benjamini_hochberg(df, "p", ["id"], ["s"]).collect()}
+    assert got == {("a", 0): 0.02, ("a", 1): 0.02, ("b", 0): 0.03}
+
+
+def test_no_cutoff_where_nothing_is_harmed(spark):
+    scan = "s string, hour int, n1 long, n0 long, u double, p double, median_1 double, median_0 double"
+    df = spark.createDataFrame([("a", 15, 9, 9, 0.0, 0.5, 50.0, 40.0), ("b", 15, 9, 9, 0.0, 0.2, 30.0, 40.0), ("b", 16, 9, 9, 0.0, 0.1, 30.001, 40.0), ("c", 15, 4, 9, 0.0, 0.1, 1.0, 40.0)], scan)
+    assert [(r.s, r.hour, r.harm) for r in insights.best_cutoff(df, ["s"]).collect()] == [("b", 16, 10.0)]
+
+
+def test_snooze_and_anchor(spark):
+    policy = spark.createDataFrame([("steps", 24), ("glucose", 24), ("spo2", 24)], "metric string, cadence_hours int")
+    seen = spark.createDataFrame([(m, "whoop_1", dt.datetime(2015, 1, 1)) for m in ("steps", "glucose", "spo2")], "metric string, device_key string, last_seen timestamp_ntz")
+    off = spark.createDataFrame([("steps", dt.date(2015, 2, 5)), ("glucose", dt.date(2015, 2, 4)), ("spo2", None)], "metric string, snooze_until date")
+    got = signals.stale_metrics(seen, policy, daily.rank_of(F.col("device_key")), [], "2015-02-05 12:00:00", snoozed=off)
+    assert {r.metric for r in got.collect()} == {"glucose", "spo2"}
+    rows = spark.createDataFrame([("a", dt.date(2015, 1, 1), 1.0), ("a", dt.date(2015, 1, 9), None)], "s string, date date, value double")
+    assert [r.anchor for r in signals.anchors(rows, ["s"]).collect()] == [dt.date(2015, 1, 1)]
+
+
 def test_choose_cards_against_loop(spark):
     import random
 

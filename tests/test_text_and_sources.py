@@ -63,14 +63,24 @@ def test_lab_flag_and_text(spark):
 def test_read_only(spark):
     spark.range(900).createOrReplaceTempView("ro_numbers")
     assert reports.read_only(spark, "with x as (select * from ro_numbers) select * from x").count() == 500
-    for bad in ("drop view ro_numbers", "create table t as select 1", "insert into t select 1", "set x = 1", "with"):
-        with pytest.raises(Exception):
+    assert reports.read_only(spark, "select id, (select max(id) from ro_numbers) as m from ro_numbers where id in (select id from ro_numbers) limit 3").count() == 3
+    refused = [
+        "drop view ro_numbers", "create table t as select 1", "insert into t select 1", "set x = 1", "with x as (select 1 as a) insert into t select * from x",
+        "from ro_numbers insert into t select id insert into u select id", "select reflect('java.lang.System', 'exit', 3)", "select * from (select Java_Method('java.util.UUID', 'randomUUID') as u) where u > (select try_reflect('a', 'b'))",
+    ]
+    for bad in refused:
+        with pytest.raises(ValueError):
             reports.read_only(spark, bad)
+    with pytest.raises(Exception):
+        reports.read_only(spark, "with")
 
 
 def test_renderers(spark):
     df = spark.createDataFrame([("<b>", None)], "a string, b int")
     assert "&lt;b&gt;" in reports.html_table(df) and reports.markdown_table(df).count("\n") == 3
+    many = spark.range(30).select(F.col("id"), F.create_map(F.lit("k"), F.col("id")).alias("m")).repartition(5)
+    short = reports.markdown_table(many, 3)
+    assert "| 0 | {'k': 0} |\n| 1 |" in short and short.endswith("Only the first 3 rows are shown.\n") and "first 3 rows" in reports.html_table(many, 3)
 
 
 def test_xml_csv_documents_pages(spark, tmp_path):
@@ -90,10 +100,17 @@ def test_xml_csv_documents_pages(spark, tmp_path):
     (docs / "b.png").write_bytes(b"\x89PNG")
     assert {r.path[-5:]: (r.text, r.status) for r in readers.read_documents(spark, str(docs)).collect()} == {"a.txt": ("HDL 40", "ok"), "b.png": (None, "needs_ocr")}
 
+    with_ocr = readers.read_documents(spark, str(docs), lambda content: "text of the picture" if content[:1] == b"\x89" else None)
+    assert {(r.text, r.status) for r in with_ocr.collect()} == {("HDL 40", "ok"), ("text of the picture", "ok")}
+    spark.range(3).write.parquet(str(tmp_path / "attached"))
+    readers.attach(spark, str(tmp_path / "attached"), "attached")
+    assert spark.sql("select count(*) from attached").first()[0] == 3
+
     pages = tmp_path / "pages" / "sleep"
     pages.mkdir(parents=True)
     (pages / "first.json").write_text(json.dumps({"records": [{"id": 1}, {"id": 2}], "nextToken": "t2"}))
-    (pages / "t2.json").write_text(json.dumps({"records": [{"id": 3}]}))
+    (pages / "t2.json").write_text(json.dumps({"records": [{"id": 3}], "nextToken": "t3"}))
+    (pages / "t3.json").write_text(json.dumps({"records": [], "nextToken": "first"}))  # an empty page is the end
     got = readers.read_pages(spark, str(tmp_path / "pages"), "sleep,cycle").collect()
     assert [(r.kind, json.loads(r.payload)["id"]) for r in got] == [("sleep", 1), ("sleep", 2), ("sleep", 3)]
 

@@ -294,6 +294,16 @@ class DeliveryStore:
         self._commit(state, segments=[*segments[:at], {"folder": folder, "slots": slots, "rows": rows}], bits=[folder])
 
 
+def first_arrivals(arrivals: DataFrame, no: str, keys: str) -> DataFrame:
+    """The `no` of the surplus of a whole log at once, without a store: arrivals that share an identifier with one of a smaller `no`.
+
+    Identifiers are reduced by partial aggregates; only the repeated ones are joined back, by adaptive, skew-splitting joins.
+    """
+    flat = arrivals.select(F.col(no).cast("long").alias("no"), F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+    again = flat.groupBy("key").agg(F.min("no").alias("first_no"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("key", "first_no")
+    return flat.join(again, "key").filter("no > first_no").select("no").distinct()
+
+
 def sample_keys(samples: DataFrame) -> DataFrame:
     """Arrivals of a samples log: the content id and the UUID identify a message."""
     return samples.select(F.lit("samples").alias("origin"), F.col("row_id").alias("no"), F.array(content_key("s", F.col("sample_id")), uuid_key("u", F.col("hk_uuid"))).alias("keys"))

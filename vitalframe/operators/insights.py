@@ -53,11 +53,12 @@ def mann_whitney(rows: DataFrame, by: list[str], value: str, group: str) -> Data
     return out.select(*by, "n1", "n0", u.alias("u"), F.coalesce(F.when((n1 > 0) & (n0 > 0), F.least(F.lit(1.0), 2 * normal_tail(z))), F.lit(1.0)).alias("p"))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, order: list[str]) -> DataFrame:
-    """Adds q over all rows in one pool; `order` breaks ties of p. For pools of tests, not of rows: it is one partition."""
-    w = Window.orderBy(F.col(p), *order)
-    df = tests.withColumns({"_rk": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    back = Window.orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0)
+def benjamini_hochberg(tests: DataFrame, p: str, order: list[str], pool: list[str]) -> DataFrame:
+    """Adds q, corrected within each `pool` (one subject's tests, say); `order` breaks ties of p. A pool is as large as a subject has
+    tests, pools are spread over tasks."""
+    w = Window.partitionBy(*pool).orderBy(F.col(p), *order)
+    df = tests.withColumns({"_rk": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(*pool))})
+    back = Window.partitionBy(*pool).orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rk")).over(back))).drop("_rk", "_n")
 
 
@@ -93,24 +94,58 @@ def lagged_pairs(daily: DataFrame, by: list[str], pairs: list[tuple[str, str]],
     return left.join(table, "a").join(right, [*by, "date", "b"])
 
 
-def theil_sen(daily: DataFrame, by: list[str], most_days: int = 3660) -> DataFrame:
+def median_slope(d: np.ndarray, v: np.ndarray, at_once: int = 7_000_000) -> tuple[float, int]:
+    """The median of the slopes between all points of different d, and their number; (0, 0) for none.
+
+    Up to `at_once` slopes are formed at a time. Where there are more, the value is narrowed down by counting, a block of points
+    against all others in each pass, until few enough slopes are left to sort: exact, in bounded memory.
+    """
+    n = len(d)
+    order = np.argsort(d, kind="stable")
+    d, v = d[order], v[order]
+    block = max(1, at_once // max(n, 1))
+
+    def parts():
+        for a in range(0, n, block):
+            later = d[None, :] > d[a : a + block, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                yield ((v[None, :] - v[a : a + block, None]) / (d[None, :] - d[a : a + block, None]))[later]
+
+    counts = [(len(x), x.min(), x.max()) if len(x) else (0, np.inf, -np.inf) for x in parts()]
+    total, low, high = sum(c for c, _, _ in counts), min(a for _, a, _ in counts), max(b for _, _, b in counts)
+    if not total:
+        return 0.0, 0
+    below, inside = 0, total  # slopes under `low`, and in [low, high]
+    ranks = np.array([(total - 1) // 2, total // 2])
+    while inside > at_once and low < high:
+        middle = low + (high - low) / 2
+        if not low < middle < high:
+            break
+        left = sum(int(np.count_nonzero(x <= middle)) for x in parts())
+        if ranks[0] < left <= ranks[1]:  # the two middle slopes lie on either side
+            return float((max(x[x <= middle].max(initial=-np.inf) for x in parts()) + min(x[x > middle].min(initial=np.inf) for x in parts())) / 2), total
+        if left > ranks[1]:
+            high, inside = middle, left - below
+        else:
+            low, below, inside = np.nextafter(middle, np.inf), left, below + inside - left
+    if inside > at_once:  # all equal to the last bit
+        return float(low), total
+    kept = np.sort(np.concatenate([x[(x >= low) & (x <= high)] for x in parts()]))
+    return float(kept[ranks - below].mean()), total
+
+
+def theil_sen(daily: DataFrame, by: list[str]) -> DataFrame:
     """(by..., slope_per_week, n_pairs): the median slope over all pairs of days, times seven; series of one day give no row.
 
-    A series is a group's days (one row each, ten years at most, which is checked); its slopes are formed in numpy, so no
-    pairs leave the task.
+    A series is a group's days, one row each; its slopes are formed in numpy in bounded memory (median_slope), whatever its
+    length, and no pairs leave the task.
     """
     rows = daily.filter("value is not null").select(*by, F.datediff("date", F.lit("1970-01-01")).alias("_d"), F.col("value").cast("double").alias("_v"))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_days:
-            raise ValueError(f"a series of {len(pdf)} days; at most {most_days} are taken")
-        d, v = pdf["_d"].to_numpy(float), pdf["_v"].to_numpy(float)
-        i, j = np.triu_indices(len(pdf), 1)
-        apart = d[j] != d[i]
-        slopes = (v[j] - v[i])[apart] / (d[j] - d[i])[apart]
-        out = pdf[by].head(1 if len(slopes) else 0).copy()
-        return out.assign(slope_per_week=np.median(slopes) * 7 if len(slopes) else 0.0, n_pairs=len(slopes))
+        slope, n = median_slope(pdf["_d"].to_numpy(float), pdf["_v"].to_numpy(float))
+        return pdf[by].head(1 if n else 0).assign(slope_per_week=slope * 7, n_pairs=n)
 
     return rows.groupBy(*by).applyInPandas(one, f"{kinds}, slope_per_week double, n_pairs long")
 
@@ -148,10 +183,11 @@ def cutoff_scan(daily: DataFrame, events: DataFrame, by: list[str], series: list
 
 
 def best_cutoff(scan: DataFrame, by: list[str], lower_is_worse: bool = True, least: int = 5) -> DataFrame:
-    """The hour with the greatest harm (median difference in the bad direction), ties by smaller p, then the earlier hour."""
+    """The hour with the greatest harm (median difference in the bad direction, to two places), ties by smaller p (to four), then the
+    earlier hour. Where no hour does harm there is no row."""
     sign = -1.0 if lower_is_worse else 1.0
     harm = F.round((F.col("median_1") - F.col("median_0")) * sign, 2)
-    ok = scan.filter((F.col("n1") >= least) & (F.col("n0") >= least)).withColumn("harm", harm)
+    ok = scan.filter((F.col("n1") >= least) & (F.col("n0") >= least)).withColumn("harm", harm).filter("harm > 0")
     best = F.max_by(F.struct("hour", "harm", "n1", "n0", "p"), F.struct(F.col("harm"), -F.round("p", 4), -F.col("hour")))
     return ok.groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +13,38 @@ from vitalframe.functions.columns import exact_avg, exact_sum, median, upper_med
 STAGE_SOURCES = ["apple_watch_ultra", "zepp_helio", "whoop"]
 
 
+#: Functions that call any Java method.
+_REFLECTION = ("reflect", "java_method", "try_reflect")
+
+
+def _nodes(node, jvm) -> Iterator:
+    """All nodes of a parsed plan: operators, expressions and what is nested in either (sub-queries, common table expressions)."""
+    kind = lambda name: jvm.java.lang.Class.forName(name)
+    tree, product, iterable = kind("org.apache.spark.sql.catalyst.trees.TreeNode"), kind("scala.Product"), kind("scala.collection.Iterable")
+    open_ = [node]
+    while open_:
+        x = open_.pop()
+        if not hasattr(x, "getClass"):
+            continue
+        if tree.isInstance(x):
+            yield x
+        parts = x.iterator() if iterable.isInstance(x) else x.productIterator() if product.isInstance(x) else None
+        while parts is not None and parts.hasNext():
+            open_.append(parts.next())
+
+
 def read_only(spark: SparkSession, text: str, limit: int = 500) -> DataFrame:
-    """The rows of a query, the first `limit`; anything but a query is refused by its parsed plan, not by its first word."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    """The rows of a query, the first `limit`. Anything but a query is refused by its parsed plan, not by its first word: every node
+    is looked at, in sub-queries and common table expressions too, for commands, inserts and calls of Java methods."""
+    jvm = spark._jvm
     logical = "org.apache.spark.sql.catalyst.plans.logical"
-    kinds = [spark._jvm.java.lang.Class.forName(f"{logical}.{k}") for k in ("Command", "ParsedStatement")]
-    if any(k.isInstance(plan) for k in kinds):
-        raise ValueError("only queries are allowed")
+    kinds = [jvm.java.lang.Class.forName(f"{logical}.{k}") for k in ("Command", "ParsedStatement")]
+    for node in _nodes(spark._jsparkSession.sessionState().sqlParser().parsePlan(text), jvm):
+        name = node.getClass().getSimpleName()
+        if any(k.isInstance(node) for k in kinds) or "InsertInto" in name or "ExecuteImmediate" in name:
+            raise ValueError("only queries are allowed")
+        if name == "UnresolvedFunction" and node.nameParts().last().lower() in _REFLECTION:
+            raise ValueError("calls of Java methods aren't allowed")
     return spark.sql(text).limit(limit)
 
 
@@ -83,15 +110,36 @@ def weekly_review(signals: DataFrame, by: list[str], anchor: Column) -> DataFram
     return week.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(exact_avg(F.col("value")), 4).alias("mean"), F.count(F.when(F.col("state") == "flag", 1)).alias("n_flag"), flagged.alias("flagged"))
 
 
+def _first(rows: DataFrame, limit: int) -> tuple[list, bool]:
+    """The first `limit` rows in the order of all columns (those without an order are compared as text), and whether there are more."""
+    order = [F.col(f"`{c}`") if rows.schema[c].dataType.simpleString().split("<")[0] not in ("map", "variant") else F.col(f"`{c}`").cast("string") for c in rows.columns]
+    got = rows.orderBy(*order).limit(limit + 1).collect()
+    return got[:limit], len(got) > limit
+
+
 def markdown_table(rows: DataFrame, limit: int = 200) -> str:
-    """A report's rows as a markdown table; for small results, at most `limit` rows are gathered."""
+    """A report's rows as a markdown table, ordered by their columns; at most `limit` rows are gathered, a last line says that there are more."""
+    got, more = _first(rows, limit)
     head = "| " + " | ".join(rows.columns) + " |\n| " + " | ".join("---" for _ in rows.columns) + " |\n"
-    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows.limit(limit).collect())
+    return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in got) + (f"\nOnly the first {limit} rows are shown.\n" if more else "")
 
 
 def html_table(rows: DataFrame, limit: int = 200) -> str:
+    """The same in HTML."""
     from html import escape
 
+    got, more = _first(rows, limit)
     cell = lambda v, tag: f"<{tag}>{escape('' if v is None else str(v))}</{tag}>"
-    body = "".join("<tr>" + "".join(cell(v, "td") for v in r) + "</tr>" for r in rows.limit(limit).collect())
-    return f"<table><tr>{''.join(cell(c, 'th') for c in rows.columns)}</tr>{body}</table>"
+    body = "".join("<tr>" + "".join(cell(v, "td") for v in r) + "</tr>" for r in got)
+    return f"<table><tr>{''.join(cell(c, 'th') for c in rows.columns)}</tr>{body}</table>" + (f"<p>Only the first {limit} rows are shown.</p>" if more else "")
+
+
+def series_with_baselines(daily: DataFrame, baselines: DataFrame, by: list[str], days: int, anchor: DataFrame) -> DataFrame:
+    """(by..., date, value, window_days, median, mad, n_days): the series of the `days` days that end on the anchor, each day with its
+    stored baselines, one row for each window; days without one have nulls there.
+
+    daily: one row per (by..., date); baselines: one per (by..., date, window_days); anchor: see signals.anchors.
+    """
+    by_anchor = [c for c in anchor.columns if c != "anchor"]
+    recent = daily.filter("value is not null").join(anchor, by_anchor).filter(F.datediff("anchor", "date").between(0, days - 1)).drop("anchor")
+    return recent.join(baselines.select(*by, "date", "window_days", "median", "mad", "n_days"), [*by, "date"], "left")

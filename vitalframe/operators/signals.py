@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vitalframe.operators import daily
+from vitalframe.operators.baselines import trailing_baseline
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -82,6 +85,19 @@ def judge(rows: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     return rows.withColumns({"delta_pct": delta, "state": state(F.col("metric"), F.col("value"), F.col("median"), F.col("mad"), rules)})
 
 
+def recompute(samples: DataFrame, policy: DataFrame, stage: Column, by: list[str], now: str, start: str, days: int, window: int = 30, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """(by..., metric, date, value, ..., median, mad, n_days, delta_pct, state) of the `days` days from `start` on, from the samples alone.
+
+    The samples read are those of the span and of the `window` days before it, which its baselines need, and a day on either side
+    for nights; so the cost follows the span and not the history, where the store is laid out by date.
+    """
+    first, end = F.date_sub(F.lit(start).cast("date"), window + 1), F.date_add(F.lit(start).cast("date"), days + 1)
+    near = samples.filter(F.coalesce(F.col("end_ts") >= first, F.lit(False)) | (F.col("start_ts") >= first)).filter(F.col("start_ts") < end)
+    rows = daily.daily_values(near, policy, stage, by, now).drop("corroboration")
+    based = trailing_baseline(rows, [*by, "metric"], [window], keep_short=True)
+    return judge(based.filter((F.col("date") >= F.lit(start).cast("date")) & (F.datediff("date", F.lit(start).cast("date")) < days)), rules)
+
+
 def state_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by..., n_favorable, n_neutral, n_flag, n_judged) of the signals that have a baseline."""
     count = lambda s: F.count(F.when(F.col("state") == s, 1))
@@ -93,16 +109,25 @@ def last_seen(samples: DataFrame) -> DataFrame:
     return samples.groupBy("metric", "device_key").agg(F.max(F.coalesce("end_ts", "start_ts")).alias("last_seen"), F.count(F.lit(1)).alias("n"))
 
 
-def stale_metrics(seen: DataFrame, policy: DataFrame, rank: Column, by: list[str], now: str, inactive: tuple[str, ...] = (), optional: tuple[str, ...] = ("dietary_energy",)) -> DataFrame:
+def anchors(daily: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., anchor): the last date that has a value, from which windows count, so that they hang off the data and not the clock."""
+    return daily.filter("value is not null").groupBy(*by).agg(F.max("date").alias("anchor"))
+
+
+def stale_metrics(seen: DataFrame, policy: DataFrame, rank: Column, by: list[str], now: str, inactive: tuple[str, ...] = (), optional: tuple[str, ...] = ("dietary_energy",), snoozed: DataFrame | None = None) -> DataFrame:
     """(by..., metric, device_key, age_hours, freshest_hours, status) of metrics whose every ranked source is late.
 
     late: the freshest source is older than twice the metric's cadence (stale), four times (silent). device_key and
-    age_hours are those of the best-ranked source. Inactive devices and optional metrics are left out.
+    age_hours are those of the best-ranked source. Inactive devices and optional metrics are left out, and so are metrics that
+    `snoozed` (metric, snooze_until; a date) puts off to the day of `now` or later.
     """
     rules = F.broadcast(policy.groupBy("metric").agg(F.max("cadence_hours").alias("cadence")))
     age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / 3_600_000_000
     df = seen.withColumns({"rank": rank, "age": age}).filter(F.col("rank").isNotNull() & ~F.col("device_key").isin(*inactive or [""]) & ~F.col("metric").isin(*optional or [""]))
     out = df.groupBy(*by, "metric").agg(F.min("age").alias("freshest"), F.min_by(F.struct("device_key", "age"), F.struct("rank", "device_key")).alias("best")).join(rules, "metric")
+    if snoozed is not None:
+        off = snoozed.filter(F.col("snooze_until") >= F.to_date(F.lit(now))).select("metric").distinct()
+        out = out.join(F.broadcast(off), "metric", "left_anti")  # a row a metric
     status = F.when(F.col("freshest") > 4 * F.col("cadence"), "silent").when(F.col("freshest") > 2 * F.col("cadence"), "stale")
     return out.withColumn("status", status).filter("status is not null").select(*by, "metric", "best.device_key", F.round("best.age", 1).alias("age_hours"), F.round("freshest", 1).alias("freshest_hours"), "status")
 

@@ -146,12 +146,28 @@ def stated_minutes_ago(text: Column, now: Column) -> Column:
     return F.when(half != "", ago(named)).when(bare > 23, None).when(bare > 12, ago(bare)).otherwise(F.least(ago(bare), ago(F.pmod(bare + 12, F.lit(24)))))
 
 
+#: Words that a text for the wearer must not have.
+BLOCKLIST = r"(?i)\b(diagnos\w*|prescri\w*|dosage|dose of|mg of|take \d+ ?mg|disease|disorder|syndrome|you (have|suffer)|medical emergency)\b"
+
+
+def blocked_word(text: Column) -> Column:
+    """The first blocked word of a text as it stands there; null without one."""
+    return F.nullif(F.regexp_extract(text, BLOCKLIST, 0), F.lit(""))
+
+
+def _six_digits(number: Column) -> Column:
+    """A key that is equal for numbers with the same six significant digits."""
+    power = F.floor(F.log10(F.when(number > 0, number)))
+    return F.coalesce(F.concat(F.round(number / F.pow(F.lit(10.0), power - 5)).cast("long").cast("string"), F.lit("e"), power.cast("string")), F.lit("0e0"))
+
+
 def _forms(number: Column) -> Column:
-    return F.array(F.format_string("%.0f", number), F.format_string("%.1f", number), F.format_string("%.2f", number), number.cast("string"))
+    return F.array(F.format_string("%.0f", number), F.format_string("%.1f", number), F.format_string("%.2f", number), _six_digits(number))
 
 
 def ungrounded_numbers(text: Column, payload: Column) -> Column:
-    """Numbers of `text` none of whose renderings (0, 1, 2 or all decimals) equals one of a number in `payload`.
+    """Numbers of `text` none of whose renderings (0, 1 or 2 decimals, six significant digits) equals one of a number in `payload`;
+    thousands separators don't count.
 
     Numbers up to 3 and parts of clock times pass. Null text gives an empty array.
     """

@@ -27,13 +27,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """samples without the surplus copies of problem 1."""
+    """samples without the surplus copies of problem 1, found at once and without a store."""
     samples = table(spark, sf_dir, "samples")
-    return samples.join(surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id")), "row_id", "left_anti")
+    return samples.join(delivery.first_arrivals(delivery.sample_keys(samples), "no", "keys").withColumnRenamed("no", "row_id"), "row_id", "left_anti")
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept_samples(spark, sf_dir).select("row_id", "sample_id", "hk_uuid", "metric", "device_key")
+    samples = table(spark, sf_dir, "samples")
+    surplus = surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id"))
+    return samples.join(surplus, "row_id", "left_anti").select("row_id", "sample_id", "hk_uuid", "metric", "device_key")
 
 
 def p1_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +98,7 @@ def p4_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the surplus test reads all rows; the readings are cut down before they meet it
     samples = table(spark, sf_dir, "samples")
-    surplus = surplus_of(spark, delivery.sample_keys(samples)).select(F.col("no").alias("row_id"))
+    surplus = delivery.first_arrivals(delivery.sample_keys(samples), "no", "keys").withColumnRenamed("no", "row_id")
     readings = samples.filter(F.col("metric").isin(*anomalies.POSSIBLE) & F.col("value").isNotNull()).select("row_id", "device_key", "metric", "start_ts", "value")
     return anomalies.flag_readings(readings.join(surplus, "row_id", "left_anti"))
 

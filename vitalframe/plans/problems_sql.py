@@ -48,6 +48,21 @@ _SPELL = [
 ]
 _TABLE = " union all ".join(f"select '{t}' as target, '{u}' as unit, '{w}' as word, cast({a} as double) as scale, cast({b} as double) as shift" for t, u, words, a, b in _SPELL for w in words)
 
+_COMMON = rf"""units as ({_TABLE}),
+        clean as (select s.row_id, s.metric, p.unit as target, s.value, s.text_value,
+                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([0-9]+(?:[.,][0-9]+)?)\s*h\s*([0-9]{{1,2}})\s*(?:min)?\s*$', ['a', 'b']) end as hm,
+                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([0-9]+(?:[.,][0-9]+)?)\s*st\s*([0-9]+(?:[.,][0-9]+)?)\s*lb\s*$', ['a', 'b']) end as sl,
+                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([-+]?[0-9]+(?:[.,][0-9]+)?)\s*(.*?)\s*$', ['a', 'b']) end as one, s.unit
+            from (select * replace (regexp_replace(text_value, '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g') as text_value) from samples) s join metric_policy p using (metric)
+            where s.metric in ('body_mass', 'body_fat_pct', 'glucose', 'wrist_temp', 'spo2', 'active_energy', 'sleep_duration')),
+        amounts as (select *, case when hm is null then value when hm.a <> '' then try_cast(replace(hm.a, ',', '.') as double) * 60 + try_cast(hm.b as double)
+                when sl.a <> '' then try_cast(replace(sl.a, ',', '.') as double) * 14 + try_cast(replace(sl.b, ',', '.') as double) else try_cast(replace(one.a, ',', '.') as double) end as amount,
+                regexp_replace(coalesce(case when hm is null then null when hm.a <> '' then 'min' when sl.a <> '' then 'lb' when one.b <> '' then one.b end, nullif(regexp_replace(unit, '\s+', '', 'g'), ''), target), '\s+', '', 'g') as said from clean
+                where (value is not null and not isnan(value)) or text_value is not null),
+        named as (select *, case when target = '%' and abs(amount) <= 1.5 then 'fraction' when said in ('Cal', 'CAL') then 'Cal' else lower(said) end as word from amounts where amount is not null),
+        common as (select row_id, named.target, value, units.unit as unit_name, amount * scale + shift as common_value from named join units using (target, word))
+"""
+
 SQL = {
     "p1_found": f"""
         with {_SURPLUS},
@@ -88,26 +103,25 @@ SQL = {
         select w.device_key, w.metric, strftime(w.date, '%Y-%m-%d') as date, w.window_days, round(coalesce(sum(d.value), 0), 4) as total_value,
             round(coalesce(sum(d.value), 0) / w.window_days, 4) as mean_value, cast(count(d.value) as integer) as n_days
         from wide w left join days d on d.device_key = w.device_key and d.metric = w.metric and d.date < w.date and d.date >= w.date - w.window_days group by 1, 2, 3, 4""",
-    "p4_found": rf"""
-        with units as ({_TABLE}),
-        clean as (select s.row_id, s.metric, p.unit as target, s.value, s.text_value,
-                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([0-9]+(?:[.,][0-9]+)?)\s*h\s*([0-9]{{1,2}})\s*(?:min)?\s*$', ['a', 'b']) end as hm,
-                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([0-9]+(?:[.,][0-9]+)?)\s*st\s*([0-9]+(?:[.,][0-9]+)?)\s*lb\s*$', ['a', 'b']) end as sl,
-                case when s.value is null or isnan(s.value) then regexp_extract(s.text_value, '([-+]?[0-9]+(?:[.,][0-9]+)?)\s*(.*?)\s*$', ['a', 'b']) end as one, s.unit
-            from (select * replace (regexp_replace(text_value, '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g') as text_value) from samples) s join metric_policy p using (metric)
-            where s.metric in ('body_mass', 'body_fat_pct', 'glucose', 'wrist_temp', 'spo2', 'active_energy', 'sleep_duration')),
-        amounts as (select *, case when hm is null then value when hm.a <> '' then try_cast(replace(hm.a, ',', '.') as double) * 60 + try_cast(hm.b as double)
-                when sl.a <> '' then try_cast(replace(sl.a, ',', '.') as double) * 14 + try_cast(replace(sl.b, ',', '.') as double) else try_cast(replace(one.a, ',', '.') as double) end as amount,
-                regexp_replace(coalesce(case when hm is null then null when hm.a <> '' then 'min' when sl.a <> '' then 'lb' when one.b <> '' then one.b end, nullif(regexp_replace(unit, '\s+', '', 'g'), ''), target), '\s+', '', 'g') as said from clean
-                where (value is not null and not isnan(value)) or text_value is not null),
-        named as (select *, case when target = '%' and abs(amount) <= 1.5 then 'fraction' when said in ('Cal', 'CAL') then 'Cal' else lower(said) end as word from amounts where amount is not null)
-        select row_id, cast(round(amount * scale + shift) as bigint) as common_value from named join units using (target, word) where value is null or isnan(value) or units.unit <> target""",
+    "p4_found": f"""
+        with {_COMMON}
+        select row_id, cast(round(common_value) as bigint) as common_value from common where value is null or isnan(value) or unit_name <> target""",
     "p6_found": f"""
         with b as (select batch_id, cast(sent_at as timestamptz) as moment, samples, deleted from batches),
         e as (select {_uuid('x')} as key, moment, 0 as op, batch_id from (select batch_id, moment, unnest(samples).uuid as x from b)
             union all select {_uuid('x')}, moment, 1, batch_id from (select batch_id, moment, unnest(deleted) as x from b)),
         last as (select key, arg_max(struct_pack(op := op, batch_id := batch_id), struct_pack(moment := moment, batch_id := batch_id, op := op)) as z from e where key is not null group by key)
         select concat_ws('-', key[1:8], key[9:12], key[13:16], key[17:20], key[21:32]) as hk_uuid, z.batch_id as batch_id from last where z.op = 0""",
+    "p6_state": f"""
+        with b as (select batch_id, cast(sent_at as timestamptz) as moment, samples, deleted from batches),
+        u0 as (select batch_id, moment, unnest(samples) as x, generate_subscripts(samples, 1) as place from b),
+        d0 as (select batch_id, moment, unnest(deleted) as x, generate_subscripts(deleted, 1) as place from b),
+        e as (select {_uuid('x.uuid')} as key, struct_pack(moment := moment, batch_id := batch_id, op := 0, place := place) as seq, x from u0
+            union all select {_uuid('x')}, struct_pack(moment := moment, batch_id := batch_id, op := 1, place := place), null from d0),
+        f as (select *, max(seq) filter (seq.op = 1) over (partition by key) as dead from e where key is not null),
+        live as (select * from f where seq.op = 0 and (dead is null or seq > dead))
+        select concat_ws('-', key[1:8], key[9:12], key[13:16], key[17:20], key[21:32]) as hk_uuid, arg_max(seq.batch_id, seq) as batch_id,
+            {', '.join(f"arg_max(x.{c}, seq) filter (x.{c} is not null) as {c}" for c in ("hk_type", "metric", "value", "text_value", "unit", "start_ts", "end_ts", "source_name"))} from live group by key""",
     "p7_found": r"""
         with asleep as (select device_key, start_ts as s, end_ts as e from samples where metric = 'sleep_analysis' and end_ts > start_ts and device_key is not null
                 and coalesce(regexp_replace(regexp_replace(lower(trim(text_value)), '^hkcategoryvaluesleepanalysis', ''), '[_\s-]', '', 'g'), '') not in ('inbed', 'awake')),

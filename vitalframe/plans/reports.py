@@ -52,9 +52,9 @@ def o141_panel_date(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.date_format(text.panel_date(t), "yyyy-MM-dd").alias("panel_date"))
 
 
-@query("""select row_id, substr(sha256(concat_ws('|', strftime(start_ts, '%Y-%m-%d'), metric, cast(cast(value as decimal(18,3)) as varchar))), 1, 16) as lab_id from samples where metric = 'glucose' and value is not null""")
+@query("""select row_id, substr(sha256(concat_ws('|', strftime(start_ts, '%Y-%m-%d'), metric, cast(cast(value as decimal(18,3)) as varchar))), 1, 16) as lab_id from samples where value is not null""")
 def o142_lab_id(spark, sf_dir):
-    s = table(spark, sf_dir, "samples").filter("metric = 'glucose' and value is not null")
+    s = table(spark, sf_dir, "samples").filter("value is not null")
     return s.select("row_id", text.lab_id(F.to_date("start_ts"), F.col("metric"), F.col("value").cast("decimal(18,3)")).alias("lab_id"))
 
 
@@ -93,6 +93,11 @@ def o148_grounding(spark, sf_dir):
     return d.select("doc_id", F.size(bad).alias("n_errors"))
 
 
+@query(f"select doc_id, regexp_extract(text, '{text.BLOCKLIST}') as word from documents where regexp_matches(text, '{text.BLOCKLIST}')")
+def o148_blocklist(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.blocked_word(F.col("text")).alias("word")).filter("word is not null")
+
+
 @query("select row_id, case when value < 70 then 'Low' when value > 110 then 'High' else '' end as flag from samples where metric = 'glucose' and value is not null")
 def o123_lab_flag(spark, sf_dir):
     s = table(spark, sf_dir, "samples").filter("metric = 'glucose' and value is not null")
@@ -117,7 +122,7 @@ def o139_html_escape(spark, sf_dir):
 
 # reports
 
-_STAGES = f"""st as (select *, {S.STAGE_SQL} as stage, {S.SUBJECT_SQL.format(d='device_key')} as subject from samples where metric = 'sleep_analysis' and value is not null),
+_STAGES = f"""st as (select *, {S.STAGE_SQL} as stage from cleaned where metric = 'sleep_analysis' and value is not null),
     nights as (select subject, device_key, cast(coalesce(end_ts, start_ts) as date) as date, {', '.join(f"cast(sum(cast(value as decimal(24,4))) filter (stage = '{s}') as double) as {s}" for s in ('deep', 'rem', 'core', 'asleep', 'awake', 'in_bed'))} from st group by 1, 2, 3)"""
 
 
@@ -125,7 +130,7 @@ def nights_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.stage_nights(S.samples_of(spark, sf_dir), S.stage(), ["subject"])
 
 
-@query(f"""with {_STAGES} select device_key, count(distinct date) as nights, {', '.join(f'round(cast(sum(cast({s} as decimal(24,4))) as double) / count({s}), 1) as {s}' for s in ('deep', 'rem', 'core'))} from nights where deep is not null or rem is not null or core is not null group by 1""")
+@query(f"""with {S._CLEAN}, {_STAGES} select device_key, count(distinct date) as nights, {', '.join(f'round(cast(sum(cast({s} as decimal(24,4))) as double) / count({s}), 1) as {s}' for s in ('deep', 'rem', 'core'))} from nights where deep is not null or rem is not null or core is not null group by 1""")
 def o54_stage_architecture(spark, sf_dir):
     return reports.stage_architecture(nights_of(spark, sf_dir), ["device_key"])
 
@@ -137,19 +142,19 @@ def o55_minutes_per_night(spark, sf_dir):
     return s.groupBy("device_key").agg(F.round(C.exact_sum(F.col("value")) / F.count_distinct(day)).alias("minutes_per_night"), F.count_distinct(day).alias("nights"))
 
 
-@query(f"""with {S._SLEEP}, {_STAGES}, ranked_sleep as (select *, {S._RANK} as rank from sleep),
+@query(f"""with {S._CLEAN}, {S._SLEEP}, {_STAGES}, ranked_sleep as (select *, {S._RANK} as rank from sleep),
     hours as (select subject, date, arg_min(value, struct_pack(r := rank, d := device_key)) as value from ranked_sleep where rank is not null group by 1, 2),
     usable as (select *, list_position(['apple_watch_ultra', 'zepp_helio', 'whoop'], regexp_replace(device_key, '_[0-9]+$', '')) as o, core is not null or deep is not null or rem is not null as staged from nights),
     best as (select *, row_number() over (partition by subject, date order by o, device_key) as k from usable where o > 0 and (staged or asleep is not null))
     select h.subject, h.date, h.value as asleep_h, b.device_key as stage_source, cast(round(case when b.o is not null then coalesce(b.deep, 0) end) as integer) as deep_min, cast(round(case when b.o is not null then coalesce(b.rem, 0) end) as integer) as rem_min,
         cast(round(case when b.o is not null then coalesce(b.core, 0) + case when b.staged then 0 else coalesce(b.asleep, 0) end end) as integer) as light_min, cast(round(case when b.o is not null then coalesce(b.awake, 0) end) as integer) as awake_min,
         case when b.in_bed > 0 then round(h.value * 60 / b.in_bed * 100, 1) end as efficiency_pct
-    from hours h join (select * from best where k = 1) b using (subject, date)""", text="date")
+    from hours h left join (select * from best where k = 1) b using (subject, date)""", text="date")
 def o80_sleep_report(spark, sf_dir):
-    """O-34, O-80: arbitrated hours with the stages of the first usable source, for the nights that have stages."""
+    """O-34, O-80: arbitrated hours with the stages of the first usable source; nights without stages keep their hours."""
     slept = daily.arbitrate(S.sleep_of(spark, sf_dir).withColumn("metric", F.lit("sleep_duration")), ["subject"]).select("subject", "date", "value")
     kind = F.regexp_replace("device_key", "_[0-9]+$", "")
-    return reports.sleep_report(slept, nights_of(spark, sf_dir), ["subject"], kind).filter("stage_source is not null")
+    return reports.sleep_report(slept, nights_of(spark, sf_dir), ["subject"], kind)
 
 
 @query(f"""with {S._SIGNALS} select device_key, metric, count(*) as n, round(cast(sum(cast(value as decimal(24,4))) as double) / count(value), 4) as mean, count(*) filter (state = 'flag') as n_flag,
@@ -217,11 +222,11 @@ def o75_custom_order(spark, sf_dir):
 
 
 @query("""with v as (select device_key, metric, date, value, row_number() over (partition by device_key, metric, date order by computed_at desc, value desc nulls last) as k from daily_values),
-    c as (select v.device_key, v.metric, v.date, (v.value - b.median) / nullif(abs(b.median), 0) * 100 as p from v join baselines b using (device_key, metric, date) where k = 1 and b.window_days = 30)
-    select device_key, metric, date, case when p > 1.5 then 'up' when p < -1.5 then 'down' when p is not null then 'flat' end as arrow from c""", text="date")
+    c as (select v.device_key, v.metric, v.date, b.window_days, (v.value - b.median) / nullif(abs(b.median), 0) * 100 as p from v join baselines b using (device_key, metric, date) where k = 1)
+    select device_key, metric, date, window_days, case when p > 1.5 then 'up' when p < -1.5 then 'down' when p is not null then 'flat' end as arrow from c""", text="date")
 def o129_delta_arrow(spark, sf_dir):
-    stored = table(spark, sf_dir, "baselines").filter("window_days = 30").select("device_key", "metric", "date", "median")
-    return S.series_of(spark, sf_dir).join(stored, ["device_key", "metric", "date"]).select("device_key", "metric", "date", C.delta_arrow(F.col("value"), F.col("median")).alias("arrow"))
+    stored = table(spark, sf_dir, "baselines").select("device_key", "metric", "date", "window_days", "median")
+    return S.series_of(spark, sf_dir).join(stored, ["device_key", "metric", "date"]).select("device_key", "metric", "date", "window_days", C.delta_arrow(F.col("value"), F.col("median")).alias("arrow"))
 
 
 @query("""with r as (select doc_id, author_key, row_number() over (partition by author_key order by created_at desc, doc_id desc) as k from documents) select author_key, doc_id, cast(k as integer) as turn from r where k <= 10""")
@@ -233,10 +238,10 @@ def o91_history(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("turn", F.row_number().over(w)).filter("turn <= 10").select("author_key", "doc_id", "turn")
 
 
-@query("""with r as (select row_id, device_key, row_number() over (partition by device_key order by ingested_at desc, row_id desc) as k from samples where metric = 'glucose') select row_id, device_key from r where k > 1""")
+@query("""with r as (select row_id, device_key, row_number() over (partition by device_key order by ingested_at desc, row_id desc) as k from samples) select row_id, device_key from r where k > 1""")
 def o147_undo_last(spark, sf_dir):
     """Without the entry logged last by each device: a tombstone and an anti-join."""
-    rows = table(spark, sf_dir, "samples").filter("metric = 'glucose'").select("row_id", "device_key", "ingested_at")
+    rows = table(spark, sf_dir, "samples").select("row_id", "device_key", "ingested_at")
     last = rows.groupBy("device_key").agg(F.max_by("row_id", F.struct("ingested_at", "row_id")).alias("row_id")).select("row_id")
     return ingest.retract(rows, last, "row_id").select("row_id", "device_key")
 
@@ -249,9 +254,9 @@ def o88_status_update(spark, sf_dir):
     return ingest.upsert(stored, changed, ["batch_id"], "v").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {S._S.join(['s as (', ')'])}, l as (select metric, subject, max(coalesce(end_ts, start_ts)) as last_seen, count(distinct device_key) as devices from s group by 1, 2) select * from l""", text="last_seen")
+@query(f"""with s as (select *, {S.SUBJECT_SQL.format(d='device_key')} as subject from samples), l as (select metric, subject, max(coalesce(end_ts, start_ts)) as last_seen, count(distinct device_key) as devices from s group by 1, 2) select * from l""", text="last_seen")
 def o85_freshness(spark, sf_dir):
-    s = S.samples_of(spark, sf_dir)
+    s = table(spark, sf_dir, "samples").withColumn("subject", S.subject())
     return s.groupBy("metric", "subject").agg(F.max(F.coalesce("end_ts", "start_ts")).alias("last_seen"), F.count_distinct("device_key").alias("devices"))
 
 

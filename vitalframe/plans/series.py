@@ -1,7 +1,7 @@
 """Queries of the series operators: ingest, daily values, baselines, states, statistics. Each with its SQL for DuckDB.
 
-The test tables hold many wearers' devices; the subject of a device is its number modulo SUBJECTS, so that a subject has
-several devices and arbitration has something to do.
+The test tables hold many wearers' devices and don't say whose a device is: four device numbers in a row count as one wearer's
+(subject), so that a subject has several devices, arbitration has something to do, and subjects grow with the devices.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalframe.functions import columns as C
-from vitalframe.operators import baselines, daily, ingest, insights, signals
+from vitalframe.operators import baselines, daily, ingest, insights, reports, signals, units
+from vitalframe.plans import problems
+from vitalframe.plans.problems_sql import _COMMON, _SURPLUS
 from vitalframe.session import cut, table
 
-SUBJECTS = 40
 NOW = "2015-02-05 12:00:00"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-SUBJECT_SQL = f"(coalesce(try_cast(nullif(regexp_extract({{d}}, '_([0-9]+)$', 1), '') as integer), 0) % {SUBJECTS})"
+SUBJECT_SQL = "(coalesce(try_cast(nullif(regexp_extract({d}, '_([0-9]+)$', 1), '') as integer), 0) // 4)"
 
 
 #: Columns that queries return as text, so that engines can be compared: dates as yyyy-MM-dd, times as yyyy-MM-dd HH:mm:ss.
@@ -44,18 +45,15 @@ def query(sql: str | None = None, text: str = ""):
 
 
 def subject(device: str = "device_key") -> Column:
-    number = F.nullif(F.regexp_extract(device, "_([0-9]+)$", 1), F.lit("")).try_cast("int")
-    return (F.coalesce(number, F.lit(0)) % SUBJECTS).alias("subject")
-
-
-def wearer(device: str = "device_key") -> Column:
-    """Four device numbers in a row are a wearer's, so that wearers grow with the devices and each has a few of them."""
+    """The wearer of a device, see above."""
     number = F.nullif(F.regexp_extract(device, "_([0-9]+)$", 1), F.lit("")).try_cast("int")
     return F.floor(F.coalesce(number, F.lit(0)) / 4).cast("int").alias("subject")
 
 
 def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "samples").withColumn("subject", subject())
+    """samples without redelivered copies, in common units, with their subject."""
+    same = units.to_common_units(problems.kept_samples(spark, sf_dir), table(spark, sf_dir, "metric_policy"))
+    return same.withColumns({"value": F.col("common_value"), "subject": subject()}).drop("common_unit", "common_value", "source_unit", "changed")
 
 
 def stage() -> Column:
@@ -196,18 +194,19 @@ def o17_vendor_json(spark, sf_dir):
 
 # daily values
 
-_S = f"select *, {SUBJECT_SQL.format(d='device_key')} as subject from samples"
+_CLEAN = f"""{_SURPLUS}, {_COMMON}, cleaned as (select samples.* replace (case when samples.metric in {tuple(problems.CONVERTED)} then common.common_value else samples.value end as value), {SUBJECT_SQL.format(d='device_key')} as subject
+    from samples left join common using (row_id) where row_id not in (select row_id from surplus))"""
 _DAY = "cast(case when metric in ('sleep_analysis', 'sleep_duration') then coalesce(end_ts, start_ts) else start_ts end as date)"
 _PER = f"""
     pol as (select metric, max(agg) as agg, max(cadence_hours) as cadence from metric_policy group by 1),
     per as (select subject, metric, {_DAY} as date, device_key,
         round(case max(agg) when 'sum' then cast(sum(cast(value as decimal(24,4))) as double) when 'avg' then cast(sum(cast(value as decimal(24,4))) as double) / count(value) else arg_max(value, struct_pack(a := start_ts, b := row_id)) end, 3) as value, count(*) as n
-        from ({_S}) s join pol using (metric) where agg in ('sum', 'avg', 'last') and value is not null and not isnan(value) group by 1, 2, 3, 4)
+        from cleaned s join pol using (metric) where agg in ('sum', 'avg', 'last') and value is not null and not isnan(value) group by 1, 2, 3, 4)
 """
 _SLEEP = f"""
-    direct as (select subject, cast(coalesce(end_ts, start_ts) as date) as date, device_key, cast(sum(cast(value as decimal(24,4))) as double) as direct from ({_S}) where metric = 'sleep_duration' and value is not null group by 1, 2, 3),
+    direct as (select subject, cast(coalesce(end_ts, start_ts) as date) as date, device_key, cast(sum(cast(value as decimal(24,4))) as double) as direct from cleaned where metric = 'sleep_duration' and value is not null group by 1, 2, 3),
     staged as (select subject, cast(coalesce(end_ts, start_ts) as date) as date, device_key, coalesce(cast(sum(cast(value as decimal(24,4))) filter ({STAGE_SQL} in ('core', 'deep', 'rem')) as double), 0) as deepish,
-        coalesce(cast(sum(cast(value as decimal(24,4))) filter ({STAGE_SQL} = 'asleep') as double), 0) as plain from ({_S}) where metric = 'sleep_analysis' and value is not null and not regexp_matches(device_key, '^(whoop)') group by 1, 2, 3),
+        coalesce(cast(sum(cast(value as decimal(24,4))) filter ({STAGE_SQL} = 'asleep') as double), 0) as plain from cleaned where metric = 'sleep_analysis' and value is not null and not regexp_matches(device_key, '^(whoop)') group by 1, 2, 3),
     slept as (select subject, date, device_key, round(greatest(direct, case when deepish > 0 then deepish else plain end / 60), 2) as value, cast(1 as bigint) as n from direct full join staged using (subject, date, device_key)),
     sleep as (select * from slept where value > 0)
 """
@@ -239,24 +238,24 @@ def daily_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.daily_values(samples_of(spark, sf_dir), table(spark, sf_dir, "metric_policy"), stage(), ["subject"], NOW)
 
 
-@query(f"with {_PER} select * from per", text="date")
+@query(f"with {_CLEAN}, {_PER} select * from per", text="date")
 def o40_per_device(spark, sf_dir):
     """O-21 to O-23, O-40: one value per device and day."""
     return per_device_of(spark, sf_dir)
 
 
-@query(f"with {_SLEEP} select * from sleep", text="date")
+@query(f"with {_CLEAN}, {_SLEEP} select * from sleep", text="date")
 def o20_sleep_duration(spark, sf_dir):
     return sleep_of(spark, sf_dir)
 
 
-@query(f"with {_PER}, {_SLEEP}, {_CHOSEN} select subject, metric, date, device_key, value, cast(len(others) as integer) as n_others from chosen", text="date")
+@query(f"with {_CLEAN}, {_PER}, {_SLEEP}, {_CHOSEN} select subject, metric, date, device_key, value, cast(len(others) as integer) as n_others from chosen", text="date")
 def o41_arbitration(spark, sf_dir):
     devices = per_device_of(spark, sf_dir).unionByName(sleep_of(spark, sf_dir).withColumn("metric", F.lit("sleep_duration")))
     return daily.arbitrate(devices, ["subject"]).select("subject", "metric", "date", "device_key", "value", F.size("corroboration").alias("n_others"))
 
 
-@query(f"""with {_DAILY} select subject, metric, date, value, device_key, n, cast(cast(score as decimal(10,4)) as double) as confidence, case when score >= 0.85 - 1e-12 then 'A' when score >= 0.7 - 1e-12 then 'B' when score >= 0.5 - 1e-12 then 'C' else 'D' end as grade from scored""", text="date")
+@query(f"""with {_CLEAN}, {_DAILY} select subject, metric, date, value, device_key, n, cast(cast(score as decimal(10,4)) as double) as confidence, case when score >= 0.85 - 1e-12 then 'A' when score >= 0.7 - 1e-12 then 'B' when score >= 0.5 - 1e-12 then 'C' else 'D' end as grade from scored""", text="date")
 def o46_daily_values(spark, sf_dir):
     """O-42 to O-46, with the confidence to four places."""
     df = daily.scored_values(samples_of(spark, sf_dir), table(spark, sf_dir, "metric_policy"), stage(), ["subject"], NOW)
@@ -294,11 +293,12 @@ def o60_trailing_baseline(spark, sf_dir):
     return baselines_of(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("median", "mad")})
 
 
-@query("select b.date, b.metric, b.device_key, d.value, b.median, b.mad from (select distinct date, metric, device_key, value from daily_values where value is not null) d join baselines b using (date, metric, device_key) where b.window_days = 30", text="date")
+@query(f"with {_SERIES} select b.date, b.metric, b.device_key, b.window_days, s.value, b.median, b.mad from series s join baselines b using (date, metric, device_key) where s.value is not null", text="date")
 def o61_baseline_lookup(spark, sf_dir):
-    values = table(spark, sf_dir, "daily_values").filter("value is not null").select("date", "metric", "device_key", "value").distinct()
-    stored = table(spark, sf_dir, "baselines").filter("window_days = 30").select("date", "metric", "device_key", "median", "mad")
-    return values.join(stored, ["date", "metric", "device_key"])
+    """The current version of each day with its stored baselines, all windows."""
+    values = series_of(spark, sf_dir).filter("value is not null")
+    stored = table(spark, sf_dir, "baselines").select("date", "metric", "device_key", "window_days", "median", "mad")
+    return values.join(stored, ["date", "metric", "device_key"]).select("date", "metric", "device_key", "window_days", "value", "median", "mad")
 
 
 @query("""with r as (select *, row_number() over (partition by device_key, metric order by date desc, window_days) as k from baselines) select device_key, metric, date, window_days, total_value from r where k <= 3""", text="date")
@@ -430,7 +430,7 @@ def o146_dedupe_window(spark, sf_dir):
 
 # statistics: metrics of a subject's days
 
-_SUBJ = f"""{_SERIES}, m as (select {SUBJECT_SQL.format(d='device_key')} % 8 as subject, metric, date, cast(sum(cast(value as decimal(24,4))) as double) as value from series where value is not null group by 1, 2, 3)"""
+_SUBJ = f"""{_SERIES}, m as (select {SUBJECT_SQL.format(d='device_key')} as subject, metric, date, arg_min(value, struct_pack(r := {_RANK}, d := device_key)) as value from series where value is not null and {_RANK} is not null group by 1, 2, 3)"""
 _SPEAR = """
     ranks as (select *, rank() over (partition by {by} order by x) + (count(*) over (partition by {by}, x) - 1) / 2.0::double as ra, rank() over (partition by {by} order by y) + (count(*) over (partition by {by}, y) - 1) / 2.0::double as rb from pairs),
     sums as (select {by}, count(*) as n, sum(ra) as sa, sum(rb) as sb, sum(ra * rb) as sab, sum(ra * ra) as saa, sum(rb * rb) as sbb from ranks group by {by}),
@@ -443,8 +443,10 @@ _TAIL = C.normal_tail_sql("z")
 
 
 def subject_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = series_of(spark, sf_dir).filter("value is not null")
-    return s.groupBy((subject() % 8).alias("subject"), "metric", "date").agg(C.exact_sum(F.col("value")).alias("value"))
+    """(subject, metric, date, value): of a subject's devices the best-ranked, values are never summed over devices."""
+    rank = daily.rank_of(F.col("device_key"))
+    s = series_of(spark, sf_dir).filter("value is not null").withColumn("rank", rank).filter("rank is not null")
+    return s.groupBy(subject(), "metric", "date").agg(F.min_by("value", F.struct("rank", "device_key")).alias("value"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -513,10 +515,10 @@ def o108_trend(spark, sf_dir):
 def doses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure events: intake rows of the samples (active energy texts serve as the log), by subject."""
     s = table(spark, sf_dir, "samples").filter("metric = 'glucose' and unit is null")
-    return s.select((subject() % 8).alias("subject"), F.col("start_ts").alias("ts"))
+    return s.select(subject(), F.col("start_ts").alias("ts"))
 
 
-_DOSES = f"""doses as (select subject, cast(ts as date) + 1 as date, max(hour(ts)) as h from (select {SUBJECT_SQL.format(d='device_key')} % 8 as subject, start_ts as ts from samples where metric = 'glucose' and unit is null) group by 1, 2)"""
+_DOSES = f"""doses as (select subject, cast(ts as date) + 1 as date, max(hour(ts)) as h from (select {SUBJECT_SQL.format(d='device_key')} as subject, start_ts as ts from samples where metric = 'glucose' and unit is null) group by 1, 2)"""
 
 
 @query(f"""with {_SUBJ}, {_DOSES}, grp as (select m.*, case when d.h is null then 0 when d.h >= 15 then 1 end as g from m left join doses d using (subject, date) where d.h is null or d.h >= 15), {_MWU.format(by='subject, metric', tail=_TAIL)}
@@ -538,9 +540,13 @@ def _cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.cutoff_scan(subject_days(spark, sf_dir), doses(spark, sf_dir), ["subject"], ["metric"], list(range(11, 22)))
 
 
-@query()
+@query(f"""with {_SUBJ}, {_DOSES}, wide as (select m.*, d.h, c.hour from m left join doses d using (subject, date) cross join (select unnest(range(11, 22))::integer as hour) c),
+    grp as (select *, case when h is null then 0 else 1 end as g from wide where h is null or h >= hour), {_MWU.format(by='subject, metric, hour', tail=_TAIL)},
+    o as (select *, cast(cast(p as decimal(18,6)) as double) as pr, round((median_0 - median_1), 2) as harm from mwu where n1 >= 5 and n0 >= 5),
+    b as (select *, row_number() over (partition by subject, metric order by harm desc, round(pr, 4), hour) as k from o where harm > 0)
+    select subject, metric, hour, harm, n1, n0, pr as p from b where k = 1""")
 def o111_cutoff(spark, sf_dir):
-    return insights.best_cutoff(_cutoffs(spark, sf_dir), ["subject", "metric"])
+    return insights.best_cutoff(rounded(_cutoffs(spark, sf_dir), "p"), ["subject", "metric"])
 
 
 def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -554,7 +560,7 @@ def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = days.filter(F.col("date").between(F.date_sub(F.lit(ANCHOR).cast("date"), 28), F.lit(ANCHOR).cast("date")))
     trends = insights.spearman(recent.withColumn("d", F.datediff("date", F.lit("1970-01-01"))), one, "value", "d", 12)
     late = insights.exposure_days(doses(spark, sf_dir), ["subject"], 15)
-    exposed = insights.exposed_rows(days.withColumn("subject", subject() % 8), late, ["subject"])
+    exposed = insights.exposed_rows(days.withColumn("subject", subject()), late, ["subject"])
 
     def groups(rows: DataFrame, group: str) -> DataFrame:
         return insights.mann_whitney(rows, one, "value", group).filter("n1 >= 5 and n0 >= 5").join(insights.group_medians(rows, one, group), one)
@@ -571,16 +577,16 @@ def tests_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.unionByName(named(weekends, "weekend", percent, "metric")).unionByName(named(groups(exposed, "exposed"), "event", gap, "metric"))
 
 
-@query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (order by pr, subject, a, b) as k, count(*) over () as c from o)
-    select subject, a, b, cast(cast(least(1.0, min(pr * c / k) over (order by k desc rows unbounded preceding)) as decimal(18,6)) as double) as q from r""")
+@query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (partition by subject order by pr, a, b) as k, count(*) over (partition by subject) as c from o)
+    select subject, a, b, cast(cast(least(1.0, min(pr * c / k) over (partition by subject order by k desc rows unbounded preceding)) as decimal(18,6)) as double) as q from r""")
 def o104_false_discovery(spark, sf_dir):
     pairs = insights.metric_pairs(subject_days(spark, sf_dir), ["subject"])
     tests = rounded(insights.spearman(pairs, ["subject", "a", "b"], "x", "y", 12), "p")
-    return rounded(insights.benjamini_hochberg(tests, "p", ["subject", "a", "b"]).select("subject", "a", "b", "q"), "q")
+    return rounded(insights.benjamini_hochberg(tests, "p", ["a", "b"], ["subject"]).select("subject", "a", "b", "q"), "q")
 
 
-@query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (order by pr, subject, a, b) as k, count(*) over () as c from o),
-    qs as (select subject, a, b, cast(cast(least(1.0, min(pr * c / k) over (order by k desc rows unbounded preceding)) as decimal(18,6)) as double) as q from r)
+@query(f"""with {_SUBJ}, {_PAIRS}, {_SPEAR.format(by='subject, a, b', tail=_TAIL)}, o as (select *, cast(cast(p as decimal(18,6)) as double) as pr from tests), r as (select *, row_number() over (partition by subject order by pr, a, b) as k, count(*) over (partition by subject) as c from o),
+    qs as (select subject, a, b, cast(cast(least(1.0, min(pr * c / k) over (partition by subject order by k desc rows unbounded preceding)) as decimal(18,6)) as double) as q from r)
     select subject, a, b, case when q < 0.01 then 'strong' when q < 0.05 then 'likely' when q < 0.1 then 'probable' when q is not null then 'early' end as evidence from qs""")
 def o112_evidence(spark, sf_dir):
     return o104_false_discovery(spark, sf_dir).select("subject", "a", "b", insights.evidence(F.col("q")).alias("evidence"))
@@ -588,6 +594,42 @@ def o112_evidence(spark, sf_dir):
 
 @query()
 def o110_findings(spark, sf_dir):
-    """O-76 to O-78, O-110: five families in one pool, one correction, then at most three findings a device that share no metric."""
-    pool = insights.benjamini_hochberg(tests_of(spark, sf_dir), "p", ["device_key", "key"])
+    """O-76 to O-78, O-110: five families in one pool, one correction a device, then at most three findings of it that share no metric."""
+    pool = insights.benjamini_hochberg(tests_of(spark, sf_dir), "p", ["key"], ["device_key"])
     return insights.choose_cards(insights.qualifying(pool, ["device_key"]), ["device_key"])
+
+
+@query(f"with {_SERIES} select device_key, metric, max(date) as date from series where value is not null group by 1, 2", text="date")
+def o53_anchor(spark, sf_dir):
+    return signals.anchors(series_of(spark, sf_dir), BY).withColumnRenamed("anchor", "date")
+
+
+@query(f"""with {_SERIES}, a as (select device_key, metric, max(date) as anchor from series where value is not null group by 1, 2),
+    r as (select s.* from series s join a using (device_key, metric) where s.value is not null and anchor - s.date between 0 and 29)
+    select r.device_key, r.metric, r.date, r.value, b.window_days, b.median, b.mad, b.n_days from r left join baselines b using (device_key, metric, date)""", text="date")
+def o86_series_with_baselines(spark, sf_dir):
+    """The last 30 days of each series, counted from its own last day, with the stored baselines."""
+    days = series_of(spark, sf_dir)
+    return reports.series_with_baselines(days, table(spark, sf_dir, "baselines"), BY, 30, signals.anchors(days, BY))
+
+
+@query(f"""with l as (select metric, device_key, max(coalesce(end_ts, start_ts)) as t from samples group by 1, 2), p as (select metric, max(cadence_hours) as c from metric_policy group by 1),
+    a as (select *, {_RANK} as r, {SUBJECT_SQL.format(d='device_key')} as subject, (epoch_us(timestamp '{NOW}') - epoch_us(t)) / 3600000000.0::double as age from l),
+    g as (select subject, metric, min(age) as freshest from a where r is not null and metric not in ('dietary_energy', 'glucose') group by 1, 2)
+    select subject, metric, round(freshest, 1) as freshest_hours from g join p using (metric) where freshest > 2 * c""")
+def o28_snoozed(spark, sf_dir):
+    """Stale metrics but for glucose, snoozed to the day of NOW, and not for heart_rate, whose snooze ended the day before."""
+    seen = signals.last_seen(table(spark, sf_dir, "samples")).withColumn("subject", subject())
+    snoozed = spark.createDataFrame([("glucose", NOW[:10]), ("heart_rate", "2015-02-04")], "metric string, until string").select("metric", F.to_date("until").alias("snooze_until"))
+    stale = signals.stale_metrics(seen, table(spark, sf_dir, "metric_policy"), daily.rank_of(F.col("device_key")), ["subject"], NOW, snoozed=snoozed)
+    return stale.select("subject", "metric", "freshest_hours")
+
+
+@query(f"""with {_CLEAN}, {_DAILY.strip()}, r as (select subject, metric, date, value from scored where date >= date '2015-01-20' and date < date '2015-01-27'),
+    b as (select r.*, (select median(p.value) from scored p where p.subject = r.subject and p.metric = r.metric and p.date < r.date and p.date >= r.date - 30) as median,
+        (select count(*) from scored p where p.subject = r.subject and p.metric = r.metric and p.date < r.date and p.date >= r.date - 30) as n from r)
+    select subject, metric, date, value, case when n >= 7 then round(median, 6) end as median from b""", text="date")
+def o93_recompute(spark, sf_dir):
+    """The days of a span recomputed from samples: daily values, their baselines over the days before, and states."""
+    rows = signals.recompute(samples_of(spark, sf_dir), table(spark, sf_dir, "metric_policy"), stage(), ["subject"], NOW, "2015-01-20", 7)
+    return rows.select("subject", "metric", "date", "value", F.round("median", 6).alias("median"))

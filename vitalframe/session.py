@@ -36,13 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set a temporary one is, on a
+    local master (tests); on a cluster that is an error, since executors can't share it."""
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if known:
         return known
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vitalframe-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
@@ -59,8 +62,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder, which is deleted when the application ends."""
+    spark = df.sparkSession
+    ship(spark)
+    shared_folder(spark)
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isEmpty() and getattr(context, "_vitalframe_folder", None) != folder.get():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        context._vitalframe_folder = folder.get()
     return df.checkpoint(eager=True)
 
 

@@ -42,11 +42,27 @@ def write_staged(rows: DataFrame, path: str) -> None:
     rows.select(*[c.split()[0] for c in STAGED.split(", ")]).write.mode("overwrite").option("nullValue", r"\N").csv(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, status) of the files of a folder: text files decoded, others `needs_ocr` with null text."""
+def read_documents(spark: SparkSession, path: str, extract=None) -> DataFrame:
+    """(path, text, status) of the files of a folder: text files decoded, others as `extract` gives them.
+
+    extract: bytes -> text or None, run in the executors (for PDF or OCR). Without it, or where it gives nothing, the status is
+    `needs_ocr` and the text null.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     is_text = F.lower("path").rlike(r"\.(txt|md|csv)$")
-    return rows.select("path", F.when(is_text, F.decode("content", "UTF-8")).alias("text"), F.when(is_text, "ok").otherwise("needs_ocr").alias("status"))
+    text = F.when(is_text, F.decode("content", "UTF-8"))
+    if extract is None:
+        return rows.select("path", text.alias("text"), F.when(is_text, "ok").otherwise("needs_ocr").alias("status"))
+    read = F.udf(lambda content: extract(bytes(content)) if content is not None else None, "string")
+    rows = rows.withColumn("text", text).withColumn("more", read(F.when(~is_text, F.col("content"))))
+    return rows.select("path", F.coalesce("text", "more").alias("text"), F.when(is_text | F.col("more").isNotNull(), "ok").otherwise("needs_ocr").alias("status"))
+
+
+def attach(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A read-only catalogue entry: a temporary view over parquet files. Views can't be written to."""
+    rows = spark.read.parquet(path)
+    rows.createOrReplaceTempView(name)
+    return rows
 
 
 def write_days(rows: DataFrame, path: str, day: str = "date") -> None:
@@ -62,7 +78,8 @@ def write_store(rows: DataFrame, path: str) -> None:
 class PagedSource(DataSource):
     """Payload pages in a folder, one folder per kind: <path>/<kind>/<token>.json with records and an optional nextToken.
 
-    Stands for a paged REST endpoint: each kind is read by following nextToken from `first`.
+    Stands for a paged REST endpoint: each kind is read by following nextToken from `first`, until there is none, the page is missing
+    or has no records (a short page isn't the end). path: any that Arrow's file systems read (file, hdfs, s3), which executors must share.
     """
 
     @classmethod
@@ -85,16 +102,19 @@ class PagedReader(DataSourceReader):
         return [InputPartition(k) for k in self.kinds]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import os
+        from pyarrow import fs
 
+        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
         token = "first"
         while token:
-            page = os.path.join(self.path, partition.value, f"{token}.json")
-            if not os.path.exists(page):
+            page = f"{root.rstrip('/')}/{partition.value}/{token}.json"
+            if store.get_file_info(page).type == fs.FileType.NotFound:
+                return
+            with store.open_input_stream(page) as f:
+                body = json.loads(f.read())
+            if not body.get("records"):
                 return
-            with open(page, encoding="utf-8") as f:
-                body = json.load(f)
-            for record in body.get("records", []):
+            for record in body["records"]:
                 yield partition.value, json.dumps(record)
             token = body.get("nextToken")
 
