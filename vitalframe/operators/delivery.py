@@ -256,8 +256,9 @@ class DeliveryStore:
         firsts = encoded.coded.groupBy("shard", "code").agg(F.min("no").alias("first_no"), F.count(F.lit(1)).alias("copies")).withColumns(place)
         octet = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("position") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         bit = F.expr("(shiftright(octet, cast(position % 8 as int)) & 1) = 1")
-        decided = firsts.join(self.bits(state), ["shard", "bucket"], "left").withColumn("octet", octet).withColumn("seen", F.coalesce(bit, F.lit(False)))
-        again = decided.filter("seen or copies > 1").select("shard", "code", "first_no", "seen")
+        # merged, not broadcast: bitmaps and codes compress so well that their files look small
+        decided = firsts.join(self.bits(state).hint("merge"), ["shard", "bucket"], "left").withColumn("octet", octet).withColumn("seen", F.coalesce(bit, F.lit(False)))
+        again = decided.filter("seen or copies > 1").select("shard", "code", "first_no", "seen").hint("merge")
         hit = encoded.coded.join(again, ["shard", "code"]).filter(F.col("seen") | (F.col("no") > F.col("first_no")))
         self._save(hit.select("origin", "no").distinct(), folder, "surplus")
         marks = encoded.coded.select("shard", "code").unionByName(encoded.fresh.select("shard", "code")).withColumns(place)
