@@ -190,3 +190,36 @@ def test_day_windows_lose_no_rows(spark, tmp_path):
         want[metric, str(ts.date())] = (total + value, n + 1)
     got = series.QUERIES["o161_day_windows"](spark, str(tmp_path)).collect()
     assert {(r.metric, r.date): (r.total, r.n) for r in got} == want and len(got) == len(want)
+
+
+def run_stream(spark, tmp_path, rows, kind, stream, schema):
+    df = spark.createDataFrame(rows, kind)
+    src, out = str(tmp_path / "checks"), str(tmp_path / "sent")
+    df.coalesce(1).write.parquet(src)
+    made = stream(spark.readStream.schema(df.schema).parquet(src))
+    pipeline.run_available(made.writeStream.format("parquet").option("path", out), str(tmp_path / "cp"))
+    return spark.read.schema(schema).parquet(out).collect()
+
+
+def test_outages_within_the_cooldown_open_silently(spark, tmp_path):
+    at = lambda h: dt.datetime(2026, 7, 1) + dt.timedelta(hours=h)
+    rows = [("m", at(0), False), ("m", at(0.5), True), ("m", at(1), False), ("m", at(7.5), False), ("m", at(8), True), ("m", at(11), False)]
+    got = run_stream(spark, tmp_path, rows, "metric string, ts timestamp, ok boolean", pipeline.escalation_stream, "metric string, ts timestamp, stage string")
+    assert sorted((r.ts, r.stage) for r in got) == [(at(0), "open"), (at(7.5), "reminder"), (at(8), "recovered"), (at(11), "open")]
+
+
+def test_quiet_streams(spark, tmp_path):
+    at = lambda h: dt.datetime(2026, 7, 1) + dt.timedelta(hours=h)
+    rows = [("m", at(1), at(0)), ("m", at(6), at(0)), ("m", at(20), None), ("m", at(31), at(0)), ("m", at(32), at(31.5)), ("m", at(40), at(31.5)), ("n", at(9), None)]
+    got = run_stream(spark, tmp_path, rows, "metric string, ts timestamp, reading timestamp", pipeline.quiet_stream, "metric string, ts timestamp, since timestamp")
+    assert sorted((r.metric, r.ts, r.since) for r in got) == [("m", at(6), at(0)), ("m", at(31), at(0)), ("m", at(40), at(31.5))]
+
+
+def test_store_labs(spark):
+    from vitalframe.operators import text
+
+    kind = "date date, name string, value double, note string, v int"
+    day = dt.date(2026, 7, 1)
+    first = text.store_labs(None, spark.createDataFrame([(day, "HDL", 40.0, "a", 1), (day, "", 1.0, "b", 1), (day, "LDL", None, "c", 1), (None, "LDL", 1.0, "d", 1)], kind), "v")
+    again = text.store_labs(first, spark.createDataFrame([(day, "HDL", 40.0, "later", 2), (day, "HDL", 41.0, "other", 2)], kind), "v")
+    assert sorted((r.name, r.value, r.note) for r in again.collect()) == [("HDL", 40.0, "later"), ("HDL", 41.0, "other")]

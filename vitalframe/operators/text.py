@@ -95,6 +95,19 @@ def lab_id(date: Column, name: Column, value: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", date.cast("string"), name, value.cast("string")), 256), 1, 16)
 
 
+def store_labs(stored: DataFrame | None, confirmed: DataFrame, version: str) -> DataFrame:
+    """`stored` (None for an empty store) with the confirmed rows (date, name, value, ..., version) upserted by lab_id.
+
+    Rows lacking a date, name or value are skipped. Of rows with one id that of the greatest `version` holds.
+    """
+    rows = confirmed.filter(F.col("date").isNotNull() & (F.trim("name") != "") & F.col("value").isNotNull())
+    rows = rows.withColumn("lab_id", lab_id(F.col("date"), F.col("name"), F.col("value")))
+    both = rows if stored is None else stored.unionByName(rows, allowMissingColumns=True)
+    names = [c for c in both.columns if c not in ("lab_id", version)]
+    kept = both.groupBy("lab_id").agg(F.max_by(F.struct(*names), version).alias("r"), F.max(version).alias(version))
+    return kept.select("lab_id", "r.*", version)
+
+
 def lab_flag(value: Column, low: Column, high: Column) -> Column:
     return F.when(value < low, "Low").when(value > high, "High").otherwise("")
 

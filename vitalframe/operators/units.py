@@ -135,7 +135,7 @@ def parsed_text(text):
 def to_common_units(samples: DataFrame, policy: DataFrame) -> DataFrame:
     """Adds common_unit, common_value, source_unit (canonical, null if unknown) and changed to `samples`.
 
-    The target is policy's unit for the metric, or for hk_type where the metric is null. The measurement is `value`, or,
+    The target is policy's unit for the metric, or for hk_type where the metric is null. Between mmol/L and mass only glucose is converted. The measurement is `value`, or,
     where that is null or NaN, the one parsed from `text_value`; its unit is the one in the text, else `unit`, else the
     common one. Percentages of at most 1.5 are fractions. changed: `value` isn't already the measurement in the common
     unit. An unknown unit or metric, or no measurement at all, gives null common_value and changed = false.
@@ -156,5 +156,8 @@ def to_common_units(samples: DataFrame, policy: DataFrame) -> DataFrame:
     table = conversion_table(spark).select(F.col("spelling").alias("_unit"), F.col("target").alias("_target"), F.col("unit").alias("_source"), F.col("scale").alias("_scale"), F.col("shift").alias("_shift"))
     df = df.join(F.broadcast(table), ["_unit", "_target"], "left")
     common = F.col("_amount") * F.col("_scale") + F.col("_shift")
+    # the molar edge is glucose's
+    molar = (F.col("_source") == "mmol/L") != (F.col("_target") == "mmol/L")
+    common = F.when(~molar | F.lower(F.coalesce("metric", "hk_type")).contains("glucose"), common)
     changed = F.col("_amount").isNotNull() & F.col("_source").isNotNull() & (~F.coalesce(has_value, F.lit(False)) | (F.col("_source") != F.col("_target")))
     return df.select(*samples.columns, F.col("_target").alias("common_unit"), common.alias("common_value"), F.col("_source").alias("source_unit"), changed.alias("changed"))

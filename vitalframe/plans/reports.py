@@ -339,3 +339,36 @@ def o162_alert_state(spark, sf_dir):
     alerts = landed(spark, sf_dir, ["metric", "ingested_at"], "value is null", files=1).select("metric", F.col("ingested_at").cast("timestamp").alias("ts"))
     pipeline.run_available(pipeline.alert_stream(alerts).writeStream.format("parquet").option("path", f"{base}/sent"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/sent")
+
+
+@query()
+def o128_escalation(spark, sf_dir):
+    """Outages of a metric's delivery: a reading without a value is a failed check, one with a value a good one."""
+    base = scratch(spark, "stream")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = landed(spark, sf_dir, ["metric", "ingested_at", "value"], files=1)
+    checks = rows.select("metric", F.col("ingested_at").cast("timestamp").alias("ts"), F.col("value").isNotNull().alias("ok"))
+    pipeline.run_available(pipeline.escalation_stream(checks).writeStream.format("parquet").option("path", f"{base}/sent"), f"{base}/checkpoint")
+    return spark.read.schema("metric string, ts timestamp, stage string").parquet(f"{base}/sent")
+
+
+@query()
+def o128_quiet(spark, sf_dir):
+    """Metrics that fell quiet: the arrival of any row is a check of its metric, its start the reading."""
+    base = scratch(spark, "stream")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = landed(spark, sf_dir, ["metric", "ingested_at", "start_ts"], files=1)
+    checks = rows.select("metric", F.col("ingested_at").cast("timestamp").alias("ts"), F.col("start_ts").cast("timestamp").alias("reading"))
+    pipeline.run_available(pipeline.quiet_stream(checks).writeStream.format("parquet").option("path", f"{base}/sent"), f"{base}/checkpoint")
+    return spark.read.schema("metric string, ts timestamp, since timestamp").parquet(f"{base}/sent")
+
+
+@query("""with g as (select cast(start_ts as date) as date, metric as name, cast(value as decimal(18,3)) as value, unit, row_id from samples where metric is not null and value is not null and start_ts is not null),
+    k as (select *, row_number() over (partition by date, name, value order by row_id desc) as k from g)
+    select substr(sha256(concat_ws('|', strftime(date, '%Y-%m-%d'), name, cast(value as varchar))), 1, 16) as lab_id, name, cast(value as double) as value, unit from k where k = 1""")
+def o142_store_labs(spark, sf_dir):
+    """O-89, O-142: rows lacking a name, value or date are skipped, the others upserted by their id, the later row holding."""
+    s = table(spark, sf_dir, "samples").select(F.to_date("start_ts").alias("date"), F.col("metric").alias("name"), F.col("value").cast("decimal(18,3)").alias("value"), "unit", "row_id")
+    half = F.col("row_id") % 2 == 0
+    stored = text.store_labs(None, s.filter(half), "row_id")
+    return text.store_labs(stored, s.filter(~half), "row_id").select("lab_id", "name", F.col("value").cast("double").alias("value"), "unit")
